@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmesh.llm import simhash
+from surfmesh.llm import compression, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, base rules and the verdict of the compression bands for every document."""
+    return compression.quality(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash,)}
+QUERIES = {f.__name__: f for f in (op4_compression_bands, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
