@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmesh.llm import compression, simhash, toxicity
+from surfmesh.llm import compression, htmlcut, simhash, toxicity, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +24,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_toxic_words", "spans")
 
 
+def op3_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmlcut.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts, base rules and the verdict of the compression bands for every document."""
     return compression.quality(_read(spark, sf_dir, "documents"))
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP packages, and what reading those back by byte ranges gives."""
+    packages = warczip.write_packages(_read(spark, sf_dir, "pages"), warczip.new_folder(spark))
+    return warczip.read_packages(packages, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_compression_bands, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
