@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmesh.llm import compression, htmlcut, simhash, toxicity, warczip
+from surfmesh.llm import compression, decontaminate, htmlcut, simhash, toxicity, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a window similar to a benchmark item, by item."""
+    found = decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_shingles")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
