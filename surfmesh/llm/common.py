@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one Arrow batch of a Python stage holds at most (a single longer text makes a batch of its own).
 BATCH_BYTES = 16 << 20
@@ -33,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_arrow(df: DataFrame, stage: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, stage: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes as well as in rows."""
     spark = df.sparkSession
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
@@ -45,7 +46,6 @@ def map_arrow(df: DataFrame, stage: Callable[[Iterator[pa.RecordBatch]], Iterabl
 def arrow_schema(schema: str) -> pa.Schema:
     """The Arrow form of a DDL schema of flat columns and lists of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmesh.llm import compression, decontaminate, htmlcut, simhash, toxicity, warczip
+from surfmesh.llm import compression, decontaminate, htmlcut, mixing, sharding, simhash, toxicity, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_toxic_words", "spans")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, with that shard's bytes."""
+    found = sharding.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_shard").alias("shard"), F.col("_bytes").alias("n_bytes"))
+    return found
+
+
 def op3_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return htmlcut.extract(_read(spark, sf_dir, "pages"))
@@ -52,5 +58,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_shingles")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash, op9_decontamination)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of sources, targets being the square roots of their sizes."""
+    found = mixing.mixed(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"), F.col("_in_target").alias("in_target"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

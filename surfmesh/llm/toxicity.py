@@ -268,6 +268,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn=None, sample: int = SAMPLE,
     return train([r["_text"] for r in rows], [r["_y"] >= 1 for r in rows], share=share)
 
 
+class Scorer:
+    """Scores texts batch by batch; one for each task."""
+
+    def __init__(self, model: Model):
+        self.model, self.trans, self.doc = model, np.array(model.trans), np.array(model.doc)
+        self.cache: dict[str, float] = {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' scores, P(toxic) of all their words, and where each text's words start and how many they are."""
+        cache, emission = self.cache, self.model.emission
+        if len(cache) > _CACHE:
+            cache.clear()
+        sizes, emit = np.zeros(len(texts), dtype=np.int64), array("d")
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            sizes[i] = len(words)
+            for w in words:
+                if (e := cache.get(w)) is None:
+                    e = cache[w] = emission(w)
+                emit.append(e)
+        starts = np.cumsum(sizes) - sizes
+        first = np.zeros(len(emit), dtype=bool)
+        first[starts[sizes > 0]] = True
+        p, _, _ = marginals(np.array(emit), first, self.trans)
+        return 1 / (1 + np.exp(-np.clip(sums_of(p, starts, sizes) @ self.doc, -50, 50))), p, starts, sizes
+
+
 OUT = "score double, predicted int, n_toxic_words long, spans array<struct<start:int,end:int>>"
 
 
@@ -277,31 +304,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     A null or empty text scores like a text without toxic words, with no spans. Null ids and repeated rows are rows like any other; an
     empty table gives an empty table; other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = arrow_schema(f"{id_col} long, {OUT}")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        model = shared.value
-        trans, weigh = np.array(model.trans), np.array(model.doc)
-        cache: dict[str, float] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            if len(cache) > _CACHE:
-                cache.clear()
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            sizes, emit = np.zeros(len(texts), dtype=np.int64), []
-            for i, text in enumerate(texts):
-                ws = words_of(text)
-                sizes[i] = len(ws)
-                for w in ws:
-                    if (e := cache.get(w)) is None:
-                        e = cache[w] = model.emission(w)
-                    emit.append(e)
-            starts = np.cumsum(sizes) - sizes
-            first = np.zeros(len(emit), dtype=bool)
-            first[starts[sizes > 0]] = True
-            p, _, _ = marginals(np.array(emit), first, trans)
-            value = 1 / (1 + np.exp(-np.clip(sums_of(p, starts, sizes) @ weigh, -50, 50)))
+            value, p, starts, sizes = scorer(texts)
             spans, tagged = [], np.zeros(len(texts), dtype=np.int64)
             for i, text in enumerate(texts):
                 on = np.flatnonzero(p[starts[i] : starts[i] + sizes[i]] >= 0.5)
@@ -312,6 +322,20 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text")), stage, f"{id_col} long, {OUT}")
 
 
+def kept(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below one half, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            value, *_ = scorer([x or "" for x in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(value < 0.5))
+
+    return map_arrow(docs, stage, docs.schema)
+
+
 def _spans(text: str, on: np.ndarray) -> list[dict[str, int]]:
     """Offsets of the tagged words, neighbours joined."""
     wanted, out, last = set(on.tolist()), [], -2
