@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmesh.llm import compression, decontaminate, htmlcut, mixing, sharding, simhash, toxicity, warczip
+from surfmesh.llm import compression, decontaminate, htmlcut, mixing, sharding, simhash, toxicity, unitdedup, warczip, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeated runs of lines."""
+    return winnowing.deduplicated(_read(spark, sf_dir, "documents"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record into ZIP packages, and what reading those back by byte ranges gives."""
     packages = warczip.write_packages(_read(spark, sf_dir, "pages"), warczip.new_folder(spark))
@@ -52,6 +57,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later occurrences of repeated passages."""
+    return unitdedup.deduplicated(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a window similar to a benchmark item, by item."""
     found = decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -64,5 +74,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"), F.col("_in_target").alias("in_target"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_html_mincut, op4_compression_bands, op6_warc_zip, op7_simhash, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_html_mincut, op4_compression_bands, op5_line_winnowing, op6_warc_zip, op7_simhash, op8_unit_dedup, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
