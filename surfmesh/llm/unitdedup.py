@@ -21,6 +21,8 @@ from surfmesh.llm.spans import cut_out, keyed
 
 #: Least words of a run of repeated units that is removed; words either side that a cut within a line looks at.
 MIN_WORDS, REACH = 20, 4
+#: A unit of more words is cut evenly, in quarters of so many words.
+LONG = 64
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CACHE = 200_000
@@ -59,6 +61,10 @@ def units_of(text: str, cache: dict[str, int], reach: int = REACH) -> tuple[np.n
         least = np.minimum(least, np.minimum(pair[reach - k : reach - k + n], pair[reach + k : reach + k + n]))
     cut = np.flatnonzero(head | (own < least))
     size = np.diff(cut, append=n)
+    if (size > LONG).any():  # words that repeat without end have no least pair
+        place = np.arange(n) - np.repeat(cut, size)
+        cut = np.union1d(cut, np.flatnonzero((place % (LONG // 4) == 0) & np.repeat(size > LONG, size)))
+        size = np.diff(cut, append=n)
     place = np.arange(n) - np.repeat(cut, size)
     weighed = (h ^ h >> np.uint64(29)) * (_MIX[place % len(_MIX)] + np.uint64(2) * (place // len(_MIX)).astype(np.uint64))
     digest = np.add.reduceat(weighed, cut) + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
