@@ -17,6 +17,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surfmesh.llm.common import cut
+
 BITS, BLOCKS = 64, 8
 #: Chance that a pair at similarity 0.8 differs in more bits than this: about 1e-6 (binomial, 0.15 of 64 bits expected).
 RADIUS = 23
@@ -83,11 +85,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     n_items, n_grams = items.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
 
     grams = items.select(F.explode("_b").alias("_g"), "_n").distinct()
-    prepared = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_row"), shingles(F.col(text_col), words).alias("_a"))
-    hits = prepared.select("_id", "_row", "_a", F.posexplode("_a").alias("_p", "_g")).join(_held(grams, n_grams), "_g")
-    start = F.greatest(F.lit(0), F.least(F.col("_p"), F.size("_a") - F.col("_n")))
-    windows = hits.select("_id", "_row", "_n", start.alias("_at"), F.slice("_a", start + 1, F.col("_n")).alias("_w")).distinct()
-    windows = windows.withColumn("_fp", simhash(F.col("_w")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)).alias("_row"), F.col(text_col).alias("_text"))
+    # Only hashes and places go through the explosion: an array beside them would be copied for every shingle.
+    hits = texts.select("_id", "_row", F.posexplode(shingles(F.col("_text"), words)).alias("_p", "_g")).join(_held(grams, n_grams), "_g")
+    places = cut(hits.groupBy("_id", "_row").agg(F.collect_set(F.struct(F.col("_p").alias("p"), F.col("_n").alias("n"))).alias("_places")))
+    n_hits = places.agg(F.coalesce(F.sum(F.size("_places")), F.lit(0))).first()[0]
+    named = places.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "_places")
+    held = texts.join(_held(named, n_hits), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))).dropDuplicates(["_id", "_row"])
+
+    def windows_of(a: Column) -> Column:
+        at = F.array_distinct(F.transform("_places", lambda s: F.struct(F.greatest(F.lit(0), F.least(s["p"], F.size(a) - s["n"])).alias("at"), s["n"].alias("n"))))
+        return F.transform(at, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.slice(a, s["at"] + 1, s["n"]).alias("w")))
+
+    windows = held.select("_id", "_row", F.explode(F.transform(F.array(shingles(F.col("_text"), words)), windows_of)[0]).alias("s"))
+    windows = windows.select("_id", "_row", F.col("s.n").alias("_n"), F.col("s.at").alias("_at"), F.col("s.w").alias("_w")).withColumn("_fp", simhash(F.col("_w")))
 
     near = F.explode(F.array(*(F.lit(x).cast("bigint") for x in flips(radius))))
     index = items.select("_item", "_n", "_ifp", F.posexplode(F.array(*(block(F.col("_ifp"), k) for k in range(BLOCKS)))).alias("_k", "_v"))
@@ -112,5 +123,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that match an item; all columns as they were. Options as for matches()."""
     bad = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_bad_id"), F.col("_row").alias("_bad_row")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_bad_row"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.lit(0)) == F.col("_bad_row"))
     return docs.join(bad, same, "left_anti")
