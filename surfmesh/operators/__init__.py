@@ -1 +1 @@
-
+"""Operators on meshes, layers, points and rays."""

@@ -1 +1 @@
-
+"""Plans that operators share, and the registered queries."""
