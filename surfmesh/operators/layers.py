@@ -13,10 +13,10 @@ from surfmesh.types import LayerType
 
 
 def cast_value(v: Column, to: LayerType) -> Column:
-    """A value in another type: U8 is rounded half away from zero and held in 0..255 (NaN is 0), the others are cast."""
+    """A value in another type: U8 is rounded half away from zero and held in 0..255 (NaN is 0), the others are cast. Null stays null."""
     if to == LayerType.U8:
         d = v.cast("double")
-        return F.when(F.isnan(d), 0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(d)))).cast("smallint")
+        return F.when(F.isnan(d), 0).when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(d)))).cast("smallint")
     return v.cast(to.spark_type)
 
 

@@ -14,14 +14,17 @@ from surfmesh.operators.mesh import MeshMap
 from surfmesh.plans.lineage import cut
 from surfmesh.types import LocateOpts
 
-A, B, C = geom.point("a"), geom.point("b"), geom.point("c")
+
+def corners() -> tuple[geom.Point, geom.Point, geom.Point]:
+    """The corner columns of a triangle, ax to cz."""
+    return geom.point("a"), geom.point("b"), geom.point("c")
 
 
 def bucket_size(mesh: MeshMap) -> float:
-    """A cell side of twice the mean extent of the triangles in x and y; 1 for an empty map."""
+    """A cell side of the mean extent of the triangles in x and y; 1 for an empty map."""
     extent = (F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx") + F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")) / 2
     mean = mesh.geometry().agg(F.avg(extent)).first()[0]
-    return 2 * mean if mean and math.isfinite(mean) else 1.0
+    return mean if mean and math.isfinite(mean) else 1.0
 
 
 def cell(x: Column, size: float) -> Column:
@@ -80,7 +83,7 @@ def raycast(mesh: MeshMap, rays: DataFrame, *, first_hit_only: bool = False, siz
     rays = rays.select("ray_id", *(F.col(c).cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")))
     if box is None:
         return rays.select("*", F.lit(False).alias("hit"), *(F.lit(None).cast(t).alias(n) for n, t in (("surface", "int"), ("cid", "long"), *((k, "double") for k in ("t", "px", "py", "pz")))))
-    met = ray_cells(rays, box, size).join(bucketed(mesh.visible(), size), ["gx", "gy"]).withColumn("_h", geom.ray_triangle(o, d, A, B, C)).where(F.col("_h").isNotNull())
+    met = ray_cells(rays, box, size).join(bucketed(mesh.visible(), size), ["gx", "gy"]).withColumn("_h", geom.ray_triangle(o, d, *corners())).where(F.col("_h").isNotNull())
     key = ("surface_idx", "_h.t", "cid") if first_hit_only else ("_h.t", "surface_idx", "cid")
     best = met.groupBy("ray_id").agg(F.min(F.struct(*(F.col(k).alias(k.rpartition(".")[2]) for k in key))).alias("m"))
     out = rays.join(best, "ray_id", "left")
@@ -112,7 +115,7 @@ def locate(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *,
     on ties. Hits at the point's own height count for the latter alone. Nulls where nothing is found.
     """
     size = size or bucket_size(mesh)
-    p = _points(points)
+    p, (A, B, C) = _points(points), corners()
     at = tuple(F.col(f"p{k}") for k in "xyz")
     tri = mesh.visible()
     met = p.withColumn("gx", cell(at[0], size)).withColumn("gy", cell(at[1], size)).join(bucketed(tri, size), ["gx", "gy"])
@@ -154,10 +157,10 @@ def locate(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *,
     else:
         surface, cid = F.col("m.surface"), F.col("m.cid")
     out = out.select("pid", "px", "py", "pz", cid.isNotNull().alias("found"), surface.alias("surface"), cid.alias("cid"), *(F.when(cid.isNotNull(), v).alias(f"h{k}") for v, k in zip(names, "xyz", strict=True)))
-    corners = mesh.geometry().select("cid", *(q + k for q in "abc" for k in "xyz"))
+    own = mesh.geometry().select("cid", *(q + k for q in "abc" for k in "xyz"))
     bary = geom.barycentric(geom.point("h"), A, B, C)
     default = (1.0, 0.0, 0.0)
-    return out.join(corners, "cid", "left").select("pid", "px", "py", "pz", "found", "surface", "cid", "hx", "hy", "hz", *(F.when(F.col("found"), F.coalesce(v, F.lit(w))).alias(f"b{k}") for k, (v, w) in enumerate(zip(bary, default, strict=True))))
+    return out.join(own, "cid", "left").select("pid", "px", "py", "pz", "found", "surface", "cid", "hx", "hy", "hz", *(F.when(F.col("found"), F.coalesce(v, F.lit(w))).alias(f"b{k}") for k, (v, w) in enumerate(zip(bary, default, strict=True))))
 
 
 def locate_by_walking(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *, steps: int = 16) -> DataFrame:
@@ -165,7 +168,7 @@ def locate_by_walking(mesh: MeshMap, points: DataFrame, opts: LocateOpts = Locat
 
     Each step is a join by triangle; points that have arrived or left the mesh aren't carried on.
     """
-    p = _points(points).withColumn("cid", F.col("hint_cid"))
+    p, (A, B, C) = _points(points).withColumn("cid", F.col("hint_cid")), corners()
     across = mesh.adjacency().groupBy("cid").agg(*(F.max(F.when(F.col("e") == e, F.col("neighbor"))).alias(f"n{e}") for e in range(3)))
     tri = cut(mesh.geometry().join(across, "cid"))
     at = tuple(F.col(f"p{k}") for k in "xyz")
@@ -197,44 +200,63 @@ def closest(mesh: MeshMap, points: DataFrame, *, restrict_surface: int = -1, siz
     """points (pid, x, y, z) with found, surface, cid, qx, qy, qz, sqdist: the nearest triangle, of one surface if restrict_surface is 0 or
     more; of equally near ones that of the lowest surface, then triangle.
 
-    Points look in the cells around them, twice as far in each round, until what they found is nearer than the nearest cell that
-    they haven't seen. Only cells of the mesh are looked at; only open points go on.
+    Points look in their own cell, then in ever wider squares of cells, until what they found is nearer than the border of what they have
+    seen. Only cells of the mesh are looked at; only open points go on.
     """
     size = size or bucket_size(mesh)
     tri = mesh.visible()
     if restrict_surface >= 0:
         tri = tri.where(F.col("surface_idx") == restrict_surface)
-    cells = cut(bucketed(tri, size))
-    bounds = cells.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
-    open_points = _points(points)
+    cells = cut(bucketed(tri.drop("v0", "v1", "v2"), size))
+    x0, x1, y0, y1 = cells.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
+    p = _points(points)
     at = tuple(F.col(f"p{k}") for k in "xyz")
-    schema = "pid long, surface int, cid long, qx double, qy double, qz double, sqdist double"
-    done = mesh.spark.createDataFrame([], schema)
-    if bounds[0] is None:
-        return _points(points).join(done, "pid", "left").withColumn("found", F.lit(False))
+    if x0 is None:
+        names = {"surface": "int", "cid": "long", "qx": "double", "qy": "double", "qz": "double", "sqdist": "double"}
+        return p.select("pid", "px", "py", "pz", *(F.lit(None).cast(t).alias(n) for n, t in names.items()), F.lit(False).alias("found"))
     gx, gy = cell(at[0], size), cell(at[1], size)
     # Cells from a point to the mesh: no use in looking nearer.
-    gap = F.greatest(F.lit(0), F.lit(bounds[0]) - gx, gx - bounds[1], F.lit(bounds[2]) - gy, gy - bounds[3])
-    ring = 1
-    now = open_points.withColumn("_r", gap + ring)
+    gap = F.greatest(F.lit(0), F.lit(x0) - gx, gx - x1, F.lit(y0) - gy, gy - y1)
+    now, ring, done = p.withColumn("_r", gap), 1, None
     while True:
-        side = lambda g, low, high: F.sequence(F.greatest(F.lit(low), F.least(F.lit(high), g - F.col("_r"))), F.least(F.lit(high), F.greatest(F.lit(low), g + F.col("_r"))))
-        spread = now.withColumn("gx", F.explode(side(gx, bounds[0], bounds[1]))).withColumn("gy", F.explode(side(gy, bounds[2], bounds[3])))
-        q = geom.closest_point_on_triangle(at, A, B, C)
-        met = spread.join(cells, ["gx", "gy"])
-        met = met.select("pid", F.struct(geom.squared_distance(at, q).alias("sq"), "surface_idx", "cid", *(v.alias(k) for v, k in zip(q, "xyz", strict=True))).alias("s"))
-        best = met.groupBy("pid").agg(F.min("s").alias("m"))
-        sure = (F.col("_r") * size) * (F.col("_r") * size)
-        whole = (gx - F.col("_r") <= bounds[0]) & (gx + F.col("_r") >= bounds[1]) & (gy - F.col("_r") <= bounds[2]) & (gy + F.col("_r") >= bounds[3])
-        state = cut(now.join(best, "pid", "left").withColumn("_closed", whole | F.coalesce(F.col("m.sq") <= sure, F.lit(False))))
-        closed = state.where(F.col("_closed") & F.col("m").isNotNull())
-        done = done.unionByName(closed.select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), *(F.col(f"m.{k}").alias(f"q{k}") for k in "xyz"), F.col("m.sq").alias("sqdist")))
+        low_x, high_x, low_y, high_y = gx - F.col("_r"), gx + F.col("_r"), gy - F.col("_r"), gy + F.col("_r")
+        clip = lambda g, low, high: F.greatest(F.lit(low), F.least(F.lit(high), g))
+        spread = now.withColumn("gx", F.explode(F.sequence(clip(low_x, x0, x1), clip(high_x, x0, x1)))).withColumn("gy", F.explode(F.sequence(clip(low_y, y0, y1), clip(high_y, y0, y1))))
+        met = _squared(spread.join(cells, ["gx", "gy"]), at)
+        best = met.groupBy("pid").agg(F.min(F.struct("_sq", "surface_idx", "cid")).alias("m"))
+        border = F.least(at[0] - low_x * size, (high_x + 1) * size - at[0], at[1] - low_y * size, (high_y + 1) * size - at[1])
+        whole = (low_x <= x0) & (high_x >= x1) & (low_y <= y0) & (high_y >= y1)
+        state = cut(now.join(best, "pid", "left").withColumn("_closed", whole | F.coalesce(F.col("m._sq") <= border * border, F.lit(False))))
+        closed = state.where(F.col("_closed") & F.col("m").isNotNull()).select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), F.col("m._sq").alias("sqdist"))
+        done = closed if done is None else done.unionByName(closed)
         left = state.where(~F.col("_closed"))
         if not left.limit(1).count():
             break
+        now = left.select(*p.columns, (F.col("_r") + ring).alias("_r"))
         ring *= 2
-        now = left.select(*open_points.columns, (F.col("_r") + ring).alias("_r"))
-    return _points(points).join(done, "pid", "left").withColumn("found", F.col("cid").isNotNull())
+    q = geom.closest_point_on_triangle(at, *corners())
+    found = p.join(done, "pid", "left").join(mesh.geometry().drop("v0", "v1", "v2"), "cid", "left")
+    return found.select("pid", "px", "py", "pz", "surface", "cid", *(F.when(F.col("cid").isNotNull(), v).alias(f"q{k}") for v, k in zip(q, "xyz", strict=True)), "sqdist", F.col("cid").isNotNull().alias("found"))
+
+
+def _squared(met: DataFrame, at: geom.Point) -> DataFrame:
+    """met (points and triangles) with _sq, the squared distance: by the foot of the perpendicular where that lies inside, else by the nearest
+    of the sides. Step by step, so that no value is worked out twice."""
+    a, b, c = corners()
+    sides = []
+    for k, (s, e) in enumerate(((a, b), (b, c), (c, a))):
+        along, to = geom.sub(e, s), geom.sub(at, s)
+        n = geom.dot(along, along)
+        met = met.withColumn(f"_t{k}", geom.clamp01(F.coalesce(geom.ratio(geom.dot(to, along), n, n > 0), F.lit(0.0))))
+        off = geom.sub(to, geom.scale(along, F.col(f"_t{k}")))
+        sides.append(geom.dot(off, off))
+    n, to = geom.cross(geom.sub(b, a), geom.sub(c, a)), geom.sub(at, a)
+    met = met.withColumns({f"_n{k}": v for k, v in zip("xyz", n, strict=True)})
+    n = geom.point("_n")
+    size, off = geom.dot(n, n), geom.dot(to, n)
+    left = [geom.dot(geom.cross(geom.sub(e, s), geom.sub(at, s)), n) >= 0 for s, e in ((a, b), (b, c), (c, a))]
+    inside = left[0] & left[1] & left[2] & (size > 1e-20)
+    return met.withColumn("_sq", F.when(inside, geom.ratio(off * off, size, size > 0)).otherwise(F.least(*sides)))
 
 
 # --- neighbourhoods of points --------------------------------------------------------------------------------------------------
