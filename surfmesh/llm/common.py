@@ -1,37 +1,34 @@
-"""What the operators share: durable cuts of lineage, Arrow stages and connected components."""
+"""What the operators share: Arrow stages, and columns that clash with nothing. Cuts of lineage and components are the core's."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from surfmesh.plans.lineage import connected_components, cut, shared_dir
+
+__all__ = ["arrow_schema", "at", "connected_components", "cut", "map_arrow", "packed", "shared_dir", "unpacked"]
+
 #: Bytes of text that one Arrow batch of a Python stage holds at most (a single longer text makes a batch of its own).
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        jsc = spark.sparkContext._jsc.sc()
-        at = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-        if at is None:
-            at = tempfile.mkdtemp(prefix="surfmesh-checkpoint-")
-            spark.sparkContext.setCheckpointDir(at)
-    return at
+def packed(docs: DataFrame, **picked: Column) -> DataFrame:
+    """All columns of docs as one struct _doc, beside the picked ones: whatever docs' columns are called, they clash with nothing."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(v.alias(k) for k, v in picked.items()))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors don't cost its lineage."""
-    spark = df.sparkSession
-    at = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
+def unpacked(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of _doc, but for those that an operator puts in their place."""
+    return [F.col("_doc")[c].alias(c) for c in names if c not in without]
+
+
+def at(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
 def map_arrow(df: DataFrame, stage: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -48,32 +45,3 @@ def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: each node hands its neighbours (large: greater ones; small: smaller ones) to the least it knows."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the undirected edges (a, b), root its component's least node.
-
-    Alternates large-star and small-star steps until nothing changes; each round is a few aggregations and equi-joins, is written to
-    the shared folder, and leaves stars only. Nulls and self-links are no edges. An empty table gives an empty table.
-    """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if state == seen or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = state
-        now = cut(_star(_star(now, True), False))
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import cut
+from surfmesh.llm.common import at, cut, packed, unpacked
 
 BITS, BLOCKS = 64, 8
 #: Chance that a pair at similarity 0.8 differs in more bits than this: about 1e-6 (binomial, 0.15 of 64 bits expected).
@@ -80,12 +80,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     Null or wordless texts and items match nothing; of texts with fewer shingles than the item the whole text is the window. Items and
     documents with null ids match like others; rows equal in id and text come back once. Other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("_item"), shingles(F.col(item_text_col), words).alias("_b")).where(F.size("_b") > 0).distinct()
+    items = benchmark.select(at(item_col).alias("_item"), shingles(at(item_text_col), words).alias("_b")).where(F.size("_b") > 0).distinct()
     items = items.withColumn("_n", F.size("_b")).withColumn("_ifp", simhash(F.col("_b")))
     n_items, n_grams = items.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
 
     grams = items.select(F.explode("_b").alias("_g"), "_n").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)).alias("_row"), F.col(text_col).alias("_text"))
+    texts = docs.select(at(id_col).alias("_id"), F.coalesce(F.xxhash64(at(text_col).cast("string")), F.lit(0)).alias("_row"), at(text_col).alias("_text"))
     # Only hashes and places go through the explosion: an array beside them would be copied for every shingle.
     hits = texts.select("_id", "_row", F.posexplode(shingles(F.col("_text"), words)).alias("_p", "_g")).join(_held(grams, n_grams), "_g")
     places = cut(hits.groupBy("_id", "_row").agg(F.collect_set(F.struct(F.col("_p").alias("p"), F.col("_n").alias("n"))).alias("_places")))
@@ -94,8 +94,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     held = texts.join(_held(named, n_hits), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))).dropDuplicates(["_id", "_row"])
 
     def windows_of(a: Column) -> Column:
-        at = F.array_distinct(F.transform("_places", lambda s: F.struct(F.greatest(F.lit(0), F.least(s["p"], F.size(a) - s["n"])).alias("at"), s["n"].alias("n"))))
-        return F.transform(at, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.slice(a, s["at"] + 1, s["n"]).alias("w")))
+        starts = F.array_distinct(F.transform("_places", lambda s: F.struct(F.greatest(F.lit(0), F.least(s["p"], F.size(a) - s["n"])).alias("at"), s["n"].alias("n"))))
+        return F.transform(starts, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.slice(a, s["at"] + 1, s["n"]).alias("w")))
 
     windows = held.select("_id", "_row", F.explode(F.transform(F.array(shingles(F.col("_text"), words)), windows_of)[0]).alias("s"))
     windows = windows.select("_id", "_row", F.col("s.n").alias("_n"), F.col("s.at").alias("_at"), F.col("s.w").alias("_w")).withColumn("_fp", simhash(F.col("_w")))
@@ -123,5 +123,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that match an item; all columns as they were. Options as for matches()."""
     bad = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_bad_id"), F.col("_row").alias("_bad_row")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.lit(0)) == F.col("_bad_row"))
-    return docs.join(bad, same, "left_anti")
+    rows = packed(docs, _id=at(id_col), _hash=F.coalesce(F.xxhash64(at(text_col).cast("string")), F.lit(0)))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_row")), "left_anti").select(*unpacked(docs.columns))

@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surfmesh.llm.common import at, packed, unpacked
+
 #: Sources with quanta of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
 SOURCES = 256
 #: Quanta that a period has, about; and rows of a source that are numbered as one run.
 PERIOD, RUN_ROWS = 1000, 50_000
 #: Rows of the table of runs that are broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: What mixed() adds, in place of columns of these names.
+ADDED = ("_block", "_slot", "_position", "_in_target")
 
 
 def schedule_sql(quanta: str = "q") -> str:
@@ -59,8 +63,6 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     weights each source's is its number of rows to the given power. Rows of one source are ordered by a hash of their id (of their text
     where the id is null). A null source is a source like others; repeated rows are rows like any other; an empty table gives an empty table.
     """
-    names = docs.columns
-    at = lambda c: F.col(f"`{c}`")
     counts = docs.groupBy(at(source_col).alias("_source")).agg(F.count("*").alias("n"))
     groups = groups_of(counts, "_source", weights, power, period, sources)
     rows = groups.select("pool", "_source", "n", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS))
@@ -68,12 +70,12 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     # The table of sources has SOURCES + 1 rows at most: it is broadcast.
     own = rows.where("not pool").select(F.col("_source").alias("_s"), F.col("g").alias("_g1"), F.col("_runs").alias("_r1"))
     pool = rows.where("pool").select(F.col("g").alias("_g2"), F.col("_runs").alias("_r2"))
-    named = docs.withColumn("_h", h).join(F.broadcast(own), at(source_col).eqNullSafe(F.col("_s")), "left").join(F.broadcast(pool), F.lit(True), "left")
-    named = named.select(*(at(c) for c in names), "_h", F.coalesce("_g1", "_g2").alias("_g"), F.pmod("_h", F.coalesce("_r1", "_r2")).alias("_run"))
+    named = packed(docs, _h=h, _id=at(id_col), _source=at(source_col)).join(F.broadcast(own), F.col("_source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(pool), F.lit(True), "left")
+    named = named.select("_doc", "_id", "_h", F.coalesce("_g1", "_g2").alias("_g"), F.pmod("_h", F.coalesce("_r1", "_r2")).alias("_run"))
     runs = named.groupBy("_g", "_run").agg(F.count("*").alias("_rows"))
     ahead = runs.select("_g", "_run", (F.sum("_rows").over(Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))).alias("_ahead"))
     n_runs = rows.agg(F.coalesce(F.sum("_runs"), F.lit(0))).first()[0]
-    in_run = named.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_run").orderBy("_h", at(id_col))) - 1)
+    in_run = named.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_run").orderBy("_h", "_id")) - 1)
     numbered = in_run.join(F.broadcast(ahead) if n_runs <= BROADCAST_ROWS else ahead, ["_g", "_run"]).withColumn("_i", F.col("_i") + F.coalesce("_ahead", F.lit(0)))
 
     one = rows.agg(F.sort_array(F.collect_list(F.struct("g", "q", "n"))).alias("all")).where(F.size("all") > 0)
@@ -89,11 +91,10 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     placed = numbered.join(F.broadcast(quanta), "_g").withColumn("_block", F.floor(F.col("_i") / block))
     placed = placed.join(F.broadcast(slots), (F.col("_g") == F.col("_sg")) & (F.pmod(F.col("_block"), F.col("_gq")) == F.col("_nth")))
     slot = F.floor(F.col("_block") / F.col("_q")) * F.col("h") + F.col("_t")
-    return placed.select(*(at(c) for c in names), F.col("_block").cast("long").alias("_block"), slot.cast("long").alias("_slot"), (slot * block + F.pmod(F.col("_i"), F.lit(block))).cast("long").alias("_position"), (slot < F.col("_end")).alias("_in_target"))
+    return placed.select(*unpacked(docs.columns, ADDED), F.col("_block").cast("long").alias("_block"), slot.cast("long").alias("_slot"), (slot * block + F.pmod(F.col("_i"), F.lit(block))).cast("long").alias("_position"), (slot < F.col("_end")).alias("_in_target"))
 
 
 def laid_out(mix: DataFrame, rows: int = 20_000) -> DataFrame:
     """The rows of mixed() dealt in runs of `rows` positions, each in order within its file, without the columns that mixed() added."""
     run: Column = F.floor(F.col("_position") / rows)
-    added = {"_block", "_slot", "_position", "_in_target"}
-    return mix.repartition(run).sortWithinPartitions("_position").select(*(F.col(f"`{c}`") for c in mix.columns if c not in added))
+    return mix.repartition(run).sortWithinPartitions("_position").select(*(F.col(f"`{c}`") for c in mix.columns if c not in ADDED))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import cut
+from surfmesh.llm.common import at, cut, packed, unpacked
 
 #: Bits that a look at the data goes deeper than an even spread would need; what is too large there is looked at again, deeper.
 EXTRA_BITS, MOST_BITS = 6, 62
@@ -54,11 +54,10 @@ def sharded(docs: DataFrame, *, limit: int = 32 << 20, id_col: str = "doc_id", t
 
     The texts of a shard have at most `limit` bytes together, but for a text that is larger alone: it has a shard of its own. Rows that
     no bit of the hash tells apart (repeated ids) and that don't fit one shard are numbered and cut in shards "prefix/number". A null
-    text has no bytes; null ids are dealt by text; an empty table gives an empty table; other columns are carried along.
+    text has no bytes; null ids are dealt by text; an empty table gives an empty table; other columns are carried along, but for any that are
+    called like those added.
     """
-    names = docs.columns
-    at = lambda c: F.col(f"`{c}`")
-    rows = docs.select(*(at(c) for c in names), hash_of(at(id_col), at(text_col)).alias("_h"), F.coalesce(F.octet_length(at(text_col)), F.lit(0)).cast("long").alias("_bytes"))
+    rows = packed(docs, _h=hash_of(at(id_col), at(text_col)), _text=at(text_col), _bytes=F.coalesce(F.octet_length(at(text_col)), F.lit(0)).cast("long"))
     cells = cut(directory(rows.select("_h", "_bytes"), limit))
     n = cells.count()
     levels = [r[0] for r in cells.select("bits").distinct().orderBy("bits").collect()]  # MOST_BITS / EXTRA_BITS of them at most
@@ -66,16 +65,17 @@ def sharded(docs: DataFrame, *, limit: int = 32 << 20, id_col: str = "doc_id", t
     for bits in levels:
         level = cells.where(F.col("bits") == bits).select(F.col("cell").alias("_cell"), F.col("depth").alias("_d"))
         placed = placed.join(F.broadcast(level) if n <= BROADCAST_ROWS else level, F.shiftright("_h", MOST_BITS - bits) == F.col("_cell"), "left")
-        placed = placed.select(*(at(c) for c in names), "_h", "_bytes", F.coalesce("_depth", "_d").alias("_depth"))
+        placed = placed.select("_doc", "_h", "_text", "_bytes", F.coalesce("_depth", "_d").alias("_depth"))
     label = F.when(F.col("_depth") <= 0, F.lit("")).otherwise(F.expr(f"substring(lpad(bin(_h), {MOST_BITS}, '0'), 1, least(_depth, {MOST_BITS}))"))
-    easy = placed.where(F.col("_depth") <= MOST_BITS).select(*(at(c) for c in names), label.alias("_shard"), "_bytes")
+    names = unpacked(docs.columns, ("_shard", "_bytes"))
+    easy = placed.where(F.col("_depth") <= MOST_BITS).select(*names, label.alias("_shard"), "_bytes")
     if MOST_BITS not in levels or not cells.where(F.col("depth") > MOST_BITS).limit(1).count():
         return easy
     # Rows alike in all bits, too many for a shard: those over half the limit alone, the others so many a shard that any fit.
     hard = placed.where(F.col("_depth") > MOST_BITS).withColumn("_big", F.col("_bytes") * 2 > limit)
-    order = Window.partitionBy("_h", "_big").orderBy("_bytes", at(text_col))
+    order = Window.partitionBy("_h", "_big").orderBy("_bytes", "_text")
     most = F.max("_bytes").over(Window.partitionBy("_h", "_big"))
     each = F.when(F.col("_big"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(most, F.lit(1)))))
     numbered = hard.withColumn("_k", F.floor((F.row_number().over(order) - 1) / each))
     name = F.concat(label, F.when(F.col("_big"), F.lit("/large-")).otherwise(F.lit("/")), F.col("_k").cast("string"))
-    return easy.unionByName(numbered.select(*(at(c) for c in names), name.alias("_shard"), "_bytes"))
+    return easy.unionByName(numbered.select(*names, name.alias("_shard"), "_bytes"))

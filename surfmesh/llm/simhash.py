@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import connected_components, cut, map_arrow
+from surfmesh.llm.common import at, connected_components, cut, map_arrow, packed, unpacked
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt in blocks of about as many.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = pa.array((simhash(texts[i].as_py() or b"", shingle) for i in range(batch.num_rows)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp, *(batch.column(1 + k) for k in range(len(keep)))], names=[id_col, "fp", *keep])
 
-    picked = docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("binary").alias("_text"))
+    picked = docs.select(at(id_col).cast("long").alias(id_col), *map(at, keep), at(text_col).cast("string").cast("binary").alias("_text"))
     return map_arrow(picked, stage, f"{id_col} long, fp long" + "".join(f", {k} long" for k in keep))
 
 
@@ -146,11 +146,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share that id, that with the smallest digest stays; of wholly equal ones, one.
     """
-    names = docs.columns
-    digest = docs.select("*", F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    prints = cut(fingerprints(digest, id_col=id_col, text_col=text_col, shingle=shingle, keep=("_row",)))
-    ranked = components(prints, id_col=id_col, radius=radius)
-    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    stays = ranked.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.row").alias("_stay")).distinct()
-    kept = digest.join(stays, (F.col("_row") == F.col("_stay")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_row"]).select(*(F.col(f"`{c}`") for c in names))
+    digest = packed(docs, _id=at(id_col).cast("long"), _row=F.xxhash64(*map(at, docs.columns)), _text=at(text_col))
+    prints = cut(fingerprints(digest, id_col="_id", text_col="_text", shingle=shingle, keep=("_row",)))
+    ranked = components(prints, id_col="_id", radius=radius)
+    order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    stays = ranked.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_i"), F.col("o.row").alias("_r")).distinct()
+    kept = digest.join(stays, (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    return kept.drop("_text").dropDuplicates(["_id", "_row"]).select(*unpacked(docs.columns))

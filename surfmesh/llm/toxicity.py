@@ -29,12 +29,20 @@ SAMPLE, LONGEST = 4000, 100_000
 _WORD = re.compile(r"[^\W_]+")
 _PREFIXES = range(3, 9)
 _CACHE = 200_000
+#: What is taken off each word's marginal before they are summed: else the faint doubts of a long text would add up.
+_DOUBT = 0.1
 #: Words of a lane of the forward-backward sweep, and words before it that it starts from.
 _LANE, _WARM = 256, 96
 
 
+def lowered(text: str) -> str:
+    """text in lower case, letter by letter, so that offsets stay (the few letters that would grow are left as they are)."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
 
 
 def features_of(word: str) -> list[str]:
@@ -169,7 +177,7 @@ def sums_of(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     some = sizes > 0
     if some.any():
         at = starts[some]
-        total = np.add.reduceat(p, at)
+        total = np.add.reduceat(np.maximum(p - _DOUBT, 0), at)
         top = np.maximum.reduceat(p, at)
         owner = np.repeat(np.arange(some.sum()), sizes[some])
         is_top = np.flatnonzero(p == top[owner])
@@ -339,10 +347,7 @@ def kept(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
 def _spans(text: str, on: np.ndarray) -> list[dict[str, int]]:
     """Offsets of the tagged words, neighbours joined."""
     wanted, out, last = set(on.tolist()), [], -2
-    low = text.lower()
-    if len(low) != len(text):  # a few letters grow when lowered: fall back to lowering one by one
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for k, m in enumerate(_WORD.finditer(low)):
+    for k, m in enumerate(_WORD.finditer(lowered(text))):
         if k in wanted:
             if last == k - 1:
                 out[-1]["end"] = m.end()
