@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from surfmesh.llm.common import arrow_schema, map_arrow
 
 #: Most labelled documents that training reads, and the longest text in code points that it learns from. Scoring has no such bounds.
-SAMPLE, LONGEST = 4000, 100_000
+SAMPLE, LONGEST = 2400, 30_000
 _WORD = re.compile(r"[^\W_]+")
 _PREFIXES = range(3, 9)
 _CACHE = 200_000
