@@ -23,35 +23,42 @@ from surfmesh.llm.spans import cut_out, keyed
 MIN_WORDS, REACH = 20, 4
 #: A unit of more words is cut evenly, in quarters of so many words.
 LONG = 64
-_WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[\W_]+")
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CACHE = 200_000
 
 
+def _hash(token: str) -> int:
+    """Of a token's letters and digits in lower case; 0 if it has none."""
+    word = _OTHER.sub("", token.lower())
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 8) | 1 if word else 0
+
+
 def units_of(text: str, cache: dict[str, int], reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each unit of a text: digest, words, and where its first word starts and its last one ends (code points).
 
-    Words are runs of letters and digits, in lower case; a line without words has no unit.
+    Words are what stands between white space; only their letters and digits count, in lower case, and one without any is passed over.
+    A line without words has no unit.
     """
-    starts, ends, hashes, first = [], [], [], []
-    at = 0
-    for line in text.split("\n"):
-        new = True
-        for m in _WORD.finditer(line):
-            word = m[0].lower()
-            if (h := cache.get(word)) is None:
-                h = cache[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 8)
-            starts.append(at + m.start())
-            ends.append(at + m.end())
-            hashes.append(h)
-            first.append(new)
-            new = False
-        at += len(line) + 1
-    n = len(hashes)
+    breaks = np.cumsum([len(line) + 1 for line in text.split("\n")])[:-1]
+    for c in "\n\t\r\v\f":
+        text = text.replace(c, " ")
+    tokens = text.split(" ")
+    if len(cache) > _CACHE:
+        cache.clear()
+    hashes = [cache[t] if t in cache else cache.setdefault(t, _hash(t)) for t in tokens]
+    h = np.array(hashes, dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
+    real = np.flatnonzero(h)
+    starts = np.concatenate([[0], ends[:-1] + 1])[real]
+    h, ends = h[real], ends[real]
+    head = np.zeros(len(h) + 1, dtype=bool)
+    head[0] = True
+    head[np.searchsorted(starts, breaks)] = True
+    head = head[: len(h)]
+    n = len(h)
     if not n:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-    h = np.array(hashes, dtype=np.uint64)
-    head = np.array(first)
     # A cut before word i: the pair (i-1, i) hashes lower than every pair within reach. Lines begin anew.
     pair = np.full(n + 2 * reach, np.iinfo(np.uint64).max, dtype=np.uint64)
     mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
@@ -68,7 +75,7 @@ def units_of(text: str, cache: dict[str, int], reach: int = REACH) -> tuple[np.n
     place = np.arange(n) - np.repeat(cut, size)
     weighed = (h ^ h >> np.uint64(29)) * (_MIX[place % len(_MIX)] + np.uint64(2) * (place // len(_MIX)).astype(np.uint64))
     digest = np.add.reduceat(weighed, cut) + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return digest ^ digest >> np.uint64(31), size, np.array(starts)[cut], np.array(ends)[np.append(cut[1:], n) - 1]
+    return digest ^ digest >> np.uint64(31), size, starts[cut], ends[np.append(cut[1:], n) - 1]
 
 
 UNIT = "_id long, _row long, _digest long, _unit int, _words int, _start int, _end int"
@@ -81,8 +88,6 @@ def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            if len(cache) > _CACHE:
-                cache.clear()
             texts = batch.column(2)
             found = [units_of(texts[i].as_py() or "", cache) for i in range(batch.num_rows)]
             size = np.array([len(f[0]) for f in found])
