@@ -16,7 +16,7 @@ from surfmesh.llm.common import at, packed, unpacked
 #: Sources with quanta of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
 SOURCES = 256
 #: Quanta that a period has, about; and rows of a source that are numbered as one run.
-PERIOD, RUN_ROWS = 1000, 50_000
+PERIOD, RUN_ROWS = 1000, 2_000
 #: Rows of the table of runs that are broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: What mixed() adds, in place of columns of these names.
