@@ -94,7 +94,7 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     return placed.select(*unpacked(docs.columns, ADDED), F.col("_block").cast("long").alias("_block"), slot.cast("long").alias("_slot"), (slot * block + F.pmod(F.col("_i"), F.lit(block))).cast("long").alias("_position"), (slot < F.col("_end")).alias("_in_target"))
 
 
-def laid_out(mix: DataFrame, rows: int = 20_000) -> DataFrame:
+def laid_out(mix: DataFrame, rows: int = 1_000) -> DataFrame:
     """The rows of mixed() dealt in runs of `rows` positions, each in order within its file, without the columns that mixed() added."""
     run: Column = F.floor(F.col("_position") / rows)
     return mix.repartition(run).sortWithinPartitions("_position").select(*(F.col(f"`{c}`") for c in mix.columns if c not in ADDED))

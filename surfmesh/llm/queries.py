@@ -75,4 +75,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_html_mincut, op4_compression_bands, op5_line_winnowing, op6_warc_zip, op7_simhash, op8_unit_dedup, op9_decontamination, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_zip": """
+with p as (select page_id, url, coalesce(html, '') as h from pages),
+d as (select page_id, url, strlen(h) as n, sha256(h) as digest from p),
+f as (select digest, min(page_id) as first, count(*) as c from d where n >= 100 group by digest)
+select page_id, n::bigint as payload_bytes, d.digest as payload_digest, case when c > 1 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when c > 1 and page_id <> first then first end as refers_to, url
+from d left join f on f.digest = d.digest""",
+    # Every window of an item's length that starts at one of its shingles (or ends with the text), compared exactly.
+    "op9_decontamination": """
+with words as (
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents
+  union all select 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') from benchmark),
+s as (select kind, id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end as s from words),
+items as (select id as item_id, s as b, len(s) as n from s where kind = 'b' and len(s) > 0),
+grams as (select item_id, n, unnest(b) as g from items),
+icount as (select item_id, n, g, count(*) as c from grams group by all),
+docs as (select id as doc_id, s as a, len(s) as m from s where kind = 'd' and len(s) > 0),
+place as (select doc_id, m, unnest(a) as g, generate_subscripts(a, 1) - 1 as p from docs),
+start as (select distinct doc_id, item_id, n, greatest(0, least(p, m - n)) as k from place join (select distinct item_id, n, g from grams) using (g)),
+wcount as (select doc_id, item_id, n, k, g, count(*) as c from start join place using (doc_id) where p >= k and p < k + n group by all),
+same as (select w.doc_id, w.item_id, w.n, w.k, sum(w.c) as size, sum(least(w.c, coalesce(i.c, 0))) as common
+  from wcount w left join icount i on i.item_id = w.item_id and i.g = w.g group by all),
+scored as (select *, common / (size + n - common)::double as similarity from same)
+select doc_id, item_id, round(similarity, 6) as similarity, k::bigint as start_word, n::bigint as n_shingles from scored where similarity >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, k) = 1""",
+}
