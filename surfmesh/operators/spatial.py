@@ -14,6 +14,11 @@ from surfmesh.operators.mesh import MeshMap
 from surfmesh.plans.lineage import cut
 from surfmesh.types import LocateOpts
 
+#: Bytes by the optimizer's estimate below which a part is too small to be worth a task of its own.
+SMALL_PART = 16 << 20
+#: Rows of a table of triangles by cell that are broadcast, after they are counted; a larger table is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def corners() -> tuple[geom.Point, geom.Point, geom.Point]:
     """The corner columns of a triangle, ax to cz."""
@@ -41,21 +46,31 @@ def bucketed(triangles: DataFrame, size: float) -> DataFrame:
     return triangles.withColumn("gx", _span(low("x"), high("x"), size)).withColumn("gy", _span(low("y"), high("y"), size))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over all cores if it is too small to come in as many parts by itself; the later aggregation by key then needs no
+    exchange. Larger tables stay as they are."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n, key) if size < n * SMALL_PART else df
+
+
 # --- rays ----------------------------------------------------------------------------------------------------------------------
 
 
-def ray_cells(rays: DataFrame, box: tuple[float, float, float, float], size: float) -> DataFrame:
-    """rays, once for each cell of the box that they pass over: one for a vertical ray, else the cells of each column on the way."""
-    ox, oy, dx, dy = (F.col(c) for c in ("ox", "oy", "dx", "dy"))
+def ray_cells(rays: DataFrame, box: tuple[float, ...], size: float) -> DataFrame:
+    """rays, once for each cell that they pass over inside the box (low and high of x, y and z): one for a vertical ray, else the cells of
+    each column on the way."""
+    ox, oy, oz, dx, dy, dz = (F.col(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz"))
     near, far, inside = F.lit(0.0), F.lit(1e30), F.lit(True)
-    for o, d, low, high in ((ox, dx, box[0], box[1]), (oy, dy, box[2], box[3])):
+    slack = size * 1e-9
+    for o, d, low, high in ((ox, dx, box[0], box[1]), (oy, dy, box[2], box[3]), (oz, dz, box[4] - slack, box[5] + slack)):
         still = F.abs(d) < 1e-12
         t1, t2 = geom.ratio(F.lit(low) - o, d, ~still), geom.ratio(F.lit(high) - o, d, ~still)
         near, far = F.greatest(near, F.least(t1, t2)), F.least(far, F.greatest(t1, t2))
         inside = inside & (~still | ((o >= low) & (o <= high)))
     upright = (F.abs(dx) < 1e-12) & (F.abs(dy) < 1e-12)
     cut_in = rays.withColumn("_t0", F.when(upright, 0.0).otherwise(near)).withColumn("_t1", F.when(upright, 0.0).otherwise(far)).where(inside & (F.col("_t0") <= F.col("_t1")))
-    slack = size * 1e-9
     x0, x1 = ox + dx * F.col("_t0"), ox + dx * F.col("_t1")
     columns = cut_in.withColumn("gx", _span(F.least(x0, x1) - slack, F.greatest(x0, x1) + slack, size))
     # The part of the way over this column, and the rows that it crosses.
@@ -67,8 +82,8 @@ def ray_cells(rays: DataFrame, box: tuple[float, float, float, float], size: flo
     return columns.withColumn("gy", _span(F.least(y0, y1) - slack, F.greatest(y0, y1) + slack, size)).drop("_t0", "_t1")
 
 
-def _box(mesh: MeshMap) -> tuple[float, float, float, float] | None:
-    row = mesh.vertices.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+def _box(mesh: MeshMap) -> tuple[float, ...] | None:
+    row = mesh.vertices.agg(*(f(k) for k in "xyz" for f in (F.min, F.max))).first()
     return None if row[0] is None else tuple(map(float, row))
 
 
@@ -79,18 +94,33 @@ def raycast(mesh: MeshMap, rays: DataFrame, *, first_hit_only: bool = False, siz
     is hit at all. A miss has hit false and nulls.
     """
     size, box = size or bucket_size(mesh), _box(mesh)
-    o, d = geom.point("o"), geom.point("d")
     rays = rays.select("ray_id", *(F.col(c).cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")))
     if box is None:
         return rays.select("*", F.lit(False).alias("hit"), *(F.lit(None).cast(t).alias(n) for n, t in (("surface", "int"), ("cid", "long"), *((k, "double") for k in ("t", "px", "py", "pz")))))
-    met = ray_cells(rays, box, size).join(bucketed(mesh.visible(), size), ["gx", "gy"]).withColumn("_h", geom.ray_triangle(o, d, *corners())).where(F.col("_h").isNotNull())
-    key = ("surface_idx", "_h.t", "cid") if first_hit_only else ("_h.t", "surface_idx", "cid")
-    best = met.groupBy("ray_id").agg(F.min(F.struct(*(F.col(k).alias(k.rpartition(".")[2]) for k in key))).alias("m"))
+    met = _met(ray_cells(spread(rays, "ray_id"), box, size).join(bucketed(mesh.visible().drop("v0", "v1", "v2"), size), ["gx", "gy"]))
+    key = ("surface_idx", "t", "cid") if first_hit_only else ("t", "surface_idx", "cid")
+    best = met.groupBy("ray_id").agg(F.min(F.when(F.col("t").isNotNull(), F.struct(*key))).alias("m"))
     out = rays.join(best, "ray_id", "left")
     t = F.col("m.t")
     return out.select(*rays.columns, F.col("m").isNotNull().alias("hit"), F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), t.alias("t"), *((F.col(f"o{k}") + t * F.col(f"d{k}")).alias(f"p{k}") for k in "xyz"))
 
 
+def _met(pairs: DataFrame) -> DataFrame:
+    """pairs of rays and triangles with t, null for a miss: geom.ray_triangle() step by step, so that no value is worked out twice."""
+    o, d, (a, b, c) = geom.point("o"), geom.point("d"), corners()
+    sides = {f"_{n}{k}": v for n, side in (("e", geom.sub(b, a)), ("f", geom.sub(c, a)), ("s", geom.sub(o, a))) for k, v in zip("xyz", side, strict=True)}
+    pairs = pairs.select("ray_id", "surface_idx", "cid", "dx", "dy", "dz", *(v.alias(k) for k, v in sides.items()))
+    e, f, s = map(geom.point, ("_e", "_f", "_s"))
+    pairs = pairs.withColumns({f"_{n}{k}": v for n, x in (("h", geom.cross(d, f)), ("q", geom.cross(s, e))) for k, v in zip("xyz", x, strict=True)})
+    h, q = geom.point("_h"), geom.point("_q")
+    det = geom.dot(e, h)
+    pairs = pairs.withColumn("_i", geom.ratio(F.lit(1.0), det, F.abs(det) >= geom.RAY_EPS))
+    pairs = pairs.withColumns({"_u": geom.dot(s, h) * F.col("_i"), "_v": geom.dot(d, q) * F.col("_i"), "_t": geom.dot(f, q) * F.col("_i")})
+    eps = geom.RAY_EPS
+    hit = f"_u >= -{eps} and _u <= 1 + {eps} and _v >= -{eps} and _u + _v <= 1 + {eps} and _t > {eps}"
+    return pairs.select("ray_id", "surface_idx", "cid", F.when(F.expr(hit), F.col("_t")).alias("t"))
+
+
 def pick(mesh: MeshMap, rays: DataFrame) -> DataFrame:
     """rays with px, py, pz: where they hit the mesh, or else the plane z = 0 ahead of them (null where neither)."""
     found = raycast(mesh, rays)
@@ -117,8 +147,8 @@ def locate(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *,
     size = size or bucket_size(mesh)
     p, (A, B, C) = _points(points), corners()
     at = tuple(F.col(f"p{k}") for k in "xyz")
-    tri = mesh.visible()
-    met = p.withColumn("gx", cell(at[0], size)).withColumn("gy", cell(at[1], size)).join(bucketed(tri, size), ["gx", "gy"])
+    tri = mesh.visible().drop("v0", "v1", "v2")
+    met = spread(p, "pid").withColumn("gx", cell(at[0], size)).withColumn("gy", cell(at[1], size)).join(bucketed(tri, size), ["gx", "gy"])
     met = met.withColumn("_z", geom.vertical_z(at[0], at[1], A, B, C)).where(F.col("_z").isNotNull())
     on = (at[0], at[1], F.col("_z"))
     sound = geom.point_in_triangle(on, A, B, C, opts.planar_eps)
@@ -200,40 +230,48 @@ def closest(mesh: MeshMap, points: DataFrame, *, restrict_surface: int = -1, siz
     """points (pid, x, y, z) with found, surface, cid, qx, qy, qz, sqdist: the nearest triangle, of one surface if restrict_surface is 0 or
     more; of equally near ones that of the lowest surface, then triangle.
 
-    Points look in their own cell, then in ever wider squares of cells, until what they found is nearer than the border of what they have
-    seen. Only cells of the mesh are looked at; only open points go on.
+    Points look in the mesh's cell that is nearest to them, then in ever wider squares around it, until they have found a triangle at all; it
+    bounds the distance. Those for which that bound reaches beyond their cell look once more, in all cells that it touches.
     """
     size = size or bucket_size(mesh)
     tri = mesh.visible()
     if restrict_surface >= 0:
         tri = tri.where(F.col("surface_idx") == restrict_surface)
     cells = cut(bucketed(tri.drop("v0", "v1", "v2"), size))
-    x0, x1, y0, y1 = cells.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
+    n, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
+    cells = F.broadcast(cells) if n <= BROADCAST_ROWS else cells
     p = _points(points)
     at = tuple(F.col(f"p{k}") for k in "xyz")
     if x0 is None:
         names = {"surface": "int", "cid": "long", "qx": "double", "qy": "double", "qz": "double", "sqdist": "double"}
         return p.select("pid", "px", "py", "pz", *(F.lit(None).cast(t).alias(n) for n, t in names.items()), F.lit(False).alias("found"))
     gx, gy = cell(at[0], size), cell(at[1], size)
-    # Cells from a point to the mesh: no use in looking nearer.
-    gap = F.greatest(F.lit(0), F.lit(x0) - gx, gx - x1, F.lit(y0) - gy, gy - y1)
-    now, ring, done = p.withColumn("_r", gap), 1, None
+    clip = lambda g, low, high: F.greatest(F.lit(low), F.least(F.lit(high), g))
+    side = lambda low, high, least, most: F.explode(F.sequence(clip(low, least, most), clip(high, least, most)))
+
+    def nearest(spread_out: DataFrame) -> DataFrame:
+        met = _squared(spread_out.join(cells, ["gx", "gy"]), at)
+        return met.groupBy("pid").agg(F.min(F.struct("_sq", "surface_idx", "cid")).alias("m"))
+
+    home_x, home_y = clip(gx, x0, x1), clip(gy, y0, y1)
+    border = F.least(at[0] - gx * size, (gx + 1) * size - at[0], at[1] - gy * size, (gy + 1) * size - at[1])
+    now, ring, done, wide = spread(p, "pid"), 0, None, None
     while True:
-        low_x, high_x, low_y, high_y = gx - F.col("_r"), gx + F.col("_r"), gy - F.col("_r"), gy + F.col("_r")
-        clip = lambda g, low, high: F.greatest(F.lit(low), F.least(F.lit(high), g))
-        spread = now.withColumn("gx", F.explode(F.sequence(clip(low_x, x0, x1), clip(high_x, x0, x1)))).withColumn("gy", F.explode(F.sequence(clip(low_y, y0, y1), clip(high_y, y0, y1))))
-        met = _squared(spread.join(cells, ["gx", "gy"]), at)
-        best = met.groupBy("pid").agg(F.min(F.struct("_sq", "surface_idx", "cid")).alias("m"))
-        border = F.least(at[0] - low_x * size, (high_x + 1) * size - at[0], at[1] - low_y * size, (high_y + 1) * size - at[1])
-        whole = (low_x <= x0) & (high_x >= x1) & (low_y <= y0) & (high_y >= y1)
-        state = cut(now.join(best, "pid", "left").withColumn("_closed", whole | F.coalesce(F.col("m._sq") <= border * border, F.lit(False))))
-        closed = state.where(F.col("_closed") & F.col("m").isNotNull()).select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), F.col("m._sq").alias("sqdist"))
-        done = closed if done is None else done.unionByName(closed)
-        left = state.where(~F.col("_closed"))
-        if not left.limit(1).count():
+        best = nearest(now.withColumn("gx", side(home_x - ring, home_x + ring, x0, x1)).withColumn("gy", side(home_y - ring, home_y + ring, y0, y1)))
+        inside = (home_x == gx) & (home_y == gy) & (F.col("m._sq") <= border * border)
+        state = cut(now.join(best, "pid", "left").withColumn("_closed", F.coalesce(inside, F.lit(False))))
+        closed, beyond = state.where("_closed").select("pid", "m"), state.where("not _closed and m is not null")
+        done, wide = (closed, beyond) if done is None else (done.unionByName(closed), wide.unionByName(beyond))
+        left = state.where("m is null").select(*p.columns)
+        if ring > x1 - x0 + y1 - y0 or not left.limit(1).count():
             break
-        now = left.select(*p.columns, (F.col("_r") + ring).alias("_r"))
-        ring *= 2
+        now, ring = left, max(1, 2 * ring)
+    reach = F.sqrt("m._sq") * (1 + 1e-12)
+    touched = wide.select(*p.columns, "m", side(cell(at[0] - reach, size), cell(at[0] + reach, size), x0, x1).alias("gx"))
+    touched = touched.withColumn("gy", side(cell(at[1] - reach, size), cell(at[1] + reach, size), y0, y1))
+    off = lambda g, v: F.greatest(F.lit(0.0), F.col(g) * size - v, v - (F.col(g) + 1) * size)
+    touched = touched.where(off("gx", at[0]) * off("gx", at[0]) + off("gy", at[1]) * off("gy", at[1]) <= reach * reach).drop("m")
+    done = done.unionByName(nearest(touched)).select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), F.col("m._sq").alias("sqdist"))
     q = geom.closest_point_on_triangle(at, *corners())
     found = p.join(done, "pid", "left").join(mesh.geometry().drop("v0", "v1", "v2"), "cid", "left")
     return found.select("pid", "px", "py", "pz", "surface", "cid", *(F.when(F.col("cid").isNotNull(), v).alias(f"q{k}") for v, k in zip(q, "xyz", strict=True)), "sqdist", F.col("cid").isNotNull().alias("found"))
