@@ -190,7 +190,7 @@ select 2 * k as cid, v as v0, v + 1 as v1, v + 42 as v2 from c union all select
     "layer_add_from_layer": f"with {T} select cid, case when isnan(value) then 0 else greatest(0, least(255, round(value))) end::bigint as value from cost",
     "layer_get_cast": f"""with {T} select event_id::bigint as event_id, (event_id * 7) % 4000 as cid, case when cost.value is null then 9 when isnan(cost.value) then 0 else greatest(0, least(255, round(cost.value))) end::bigint as value
 from events left join cost on cost.cid = (event_id * 7) % 4000""",
-    "layer_set_bulk": f"with {T}, u as (select (event_id * 13) % 5000 as cid, max(event_id % 300) as value from events group by 1) select cid, coalesce(least(255, u.value), occ.value)::bigint as value from occ left join u using (cid)",
+    "layer_set_bulk": f"with {T}, u as (select (event_id * 13) % 5000 as cid, max(event_id % 300) as value from events group by 1) select cid, case when u.value is null then occ.value else least(255, u.value) end::bigint as value from occ left join u using (cid)",
     "layer_copy": f"with {T} select layer, cid, value::bigint as u8 from occ, (values ('occ'), ('occ2')) t(layer)",
     "layer_clear": f"with {T} select cid, 254::bigint as value from navcels",
     "layer_catalog": f"with {T} select * from (select 'occ' as name, 'uint8' as type, count(*)::bigint as n, 'cost' as description, 'level' as unit from occ union all select 'cost', 'double', count(*), 'signed cost', 's' from cost)",
