@@ -15,7 +15,7 @@ from surfmesh.operators.grid import from_mesh
 from surfmesh.operators.mesh import MeshMap
 from surfmesh.operators.spatial import knn, radius_neighbors
 from surfmesh.operators.topology import keep_top_surfaces, surfaces_by_connectivity
-from surfmesh.plans.lineage import connected_components, cut
+from surfmesh.plans.lineage import connected_components, cut, numbered
 from surfmesh.types import BuildParams
 
 #: The height step that seeds and edges may have at least, and the height gap between layers where max_dz is 0.
@@ -141,9 +141,7 @@ def from_points(points: DataFrame, params: BuildParams = BuildParams(), frame_id
         cloud = voxel_top(points, params.resolution, params.max_dz if params.max_dz > 0 else LAYER_GAP)
     else:
         cloud = points.select(F.lit(0).alias("vx"), F.lit(0).alias("vy"), F.lit(0).alias("k"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    # zipWithIndex numbers rows across sorted partitions without gathering them in one.
-    numbered = cloud.orderBy("vx", "vy", "k", "x", "y", "z").rdd.zipWithIndex().map(lambda r: (r[1], r[0]["x"], r[0]["y"], r[0]["z"]))
-    cloud = cut(spark.createDataFrame(numbered, "pid long, x double, y double, z double"))
+    cloud = numbered(cloud, "pid", "vx", "vy", "k", "x", "y", "z").select("pid", "x", "y", "z")
     if cloud.limit(3).count() < 3:
         return MeshMap.empty(spark)
     near = radius_neighbors(cloud, params.neighbor_radius) if params.neighbor_radius > 0 else knn(cloud, max(8, params.k_neighbors))
@@ -159,8 +157,7 @@ def from_points(points: DataFrame, params: BuildParams = BuildParams(), frame_id
         return pd.DataFrame({"root": part["root"].iloc[0], "n": range(len(made)), **{f"v{k}": [t[k] for t in made] for k in range(3)}})
 
     grown = rows.groupBy("root").applyInPandas(grow, "root long, n long, v0 long, v1 long, v2 long")
-    ordered = grown.orderBy("root", "n").rdd.zipWithIndex().map(lambda r: (r[1], r[0]["v0"], r[0]["v1"], r[0]["v2"]))
-    triangles = cut(spark.createDataFrame(ordered, "cid long, v0 long, v1 long, v2 long"))
+    triangles = numbered(grown, "cid", "root", "n").select("cid", "v0", "v1", "v2")
     if not triangles.limit(1).count():
         return MeshMap.empty(spark)
     mesh = from_mesh(cloud, triangles, frame_id)

@@ -1,10 +1,10 @@
-"""Durable cuts of lineage, and connected components."""
+"""Durable cuts of lineage, numbering of rows, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its rows numbered from 0 in this order, cut. Sorted parts are numbered by themselves and moved up by the rows of the parts
+    before, so that no task sees all rows; only the table of part sizes is broadcast."""
+    parts = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    own = parts.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    return cut(own.join(F.broadcast(ahead), "_part").withColumn(name, F.col(name) + F.col("_ahead")).drop("_part", "_ahead"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: each node hands its neighbours (large: greater ones; small: smaller ones) to the least it knows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
