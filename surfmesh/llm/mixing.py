@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import at, packed, unpacked
+from surfmesh.llm.common import at, cut, packed, unpacked
 
 #: Sources with quanta of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
 SOURCES = 256
@@ -65,16 +65,15 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     """
     counts = docs.groupBy(at(source_col).alias("_source")).agg(F.count("*").alias("n"))
     groups = groups_of(counts, "_source", weights, power, period, sources)
-    rows = groups.select("pool", "_source", "n", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS))
+    # SOURCES + 1 rows at most: broadcast where it is joined, its pool read as a value.
+    rows = cut(groups.select("pool", "_source", "n", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS)))
+    pool_g, pool_runs, n_runs = rows.agg(F.max(F.when(F.col("pool"), F.col("g"))), F.max(F.when(F.col("pool"), F.col("_runs"))), F.coalesce(F.sum("_runs"), F.lit(0))).first()
     h = F.when(at(id_col).isNotNull(), F.xxhash64(at(id_col))).otherwise(F.xxhash64(at(text_col)))
-    # The table of sources has SOURCES + 1 rows at most: it is broadcast.
     own = rows.where("not pool").select(F.col("_source").alias("_s"), F.col("g").alias("_g1"), F.col("_runs").alias("_r1"))
-    pool = rows.where("pool").select(F.col("g").alias("_g2"), F.col("_runs").alias("_r2"))
-    named = packed(docs, _h=h, _id=at(id_col), _source=at(source_col)).join(F.broadcast(own), F.col("_source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(pool), F.lit(True), "left")
-    named = named.select("_doc", "_id", "_h", F.coalesce("_g1", "_g2").alias("_g"), F.pmod("_h", F.coalesce("_r1", "_r2")).alias("_run"))
+    named = packed(docs, _h=h, _id=at(id_col), _source=at(source_col)).join(F.broadcast(own), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    named = named.select("_doc", "_id", "_h", F.coalesce(F.col("_g1"), F.lit(pool_g).cast("int")).alias("_g"), F.pmod("_h", F.coalesce(F.col("_r1"), F.lit(pool_runs).cast("bigint"))).alias("_run"))
     runs = named.groupBy("_g", "_run").agg(F.count("*").alias("_rows"))
     ahead = runs.select("_g", "_run", (F.sum("_rows").over(Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))).alias("_ahead"))
-    n_runs = rows.agg(F.coalesce(F.sum("_runs"), F.lit(0))).first()[0]
     in_run = named.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_run").orderBy("_h", "_id")) - 1)
     numbered = in_run.join(F.broadcast(ahead) if n_runs <= BROADCAST_ROWS else ahead, ["_g", "_run"]).withColumn("_i", F.col("_i") + F.coalesce("_ahead", F.lit(0)))
 
