@@ -6,6 +6,9 @@ subspace, so some table keeps none of them: every pair within the radius shares
 
 Copies collapse first: buckets hold distinct fingerprints. A bucket hands on a spanning forest of its links, never all its pairs; a
 bucket of more than BUCKET fingerprints is dealt in blocks, each pair of blocks to a task of its own.
+
+A radius that covers is a small one. keep_one_similar() links by similarity: texts that share a band of minimum hashes fall in one group,
+and inside a group every pair within SIMILAR_RADIUS bits is compared exactly.
 """
 
 from __future__ import annotations
@@ -18,11 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import at, connected_components, cut, map_arrow, packed, unpacked
+from surfmesh.llm.common import arrow_schema, at, connected_components, cut, map_arrow, packed, unpacked
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt in blocks of about as many.
 BUCKET = 4096
+#: Bands of so many minimum hashes each: a pair of Jaccard similarity 0.8 shares none of them with a chance of about 3e-5.
+BANDS, BAND = 20, 4
+#: Differing bits that a pair at similarity 0.8 has at most, but for a chance of about 1e-6 (binomial, 0.15 to 0.19 of 64 bits expected).
+SIMILAR_RADIUS = 26
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
 
@@ -153,3 +162,143 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stays = ranked.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_i"), F.col("o.row").alias("_r")).distinct()
     kept = digest.join(stays, (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
     return kept.drop("_text").dropDuplicates(["_id", "_row"]).select(*unpacked(docs.columns))
+
+
+def shingle_set(text: bytes, cache: dict[bytes, int], shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; of fewer words, of them all; none without words."""
+    words = text.translate(_LOWER).split()
+    if len(cache) > _CACHE:
+        cache.clear()
+    h = np.array([cache[w] if w in cache else cache.setdefault(w, xxhash.xxh64_intdigest(w, 43)) for w in words], dtype=np.uint64)
+    k = min(shingle, len(h))
+    out = np.full(len(h) - k + 1 if k else 0, k, dtype=np.uint64)
+    for i in range(k):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def set_print(grams: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as a signed 64-bit number."""
+    bytes_of = grams.view(np.uint8).reshape(-1, 8)
+    set_in = np.concatenate([np.bincount(bytes_of[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+    return int(np.packbits(2 * set_in > len(grams), bitorder="little").view(np.int64)[0])
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """A key for each of the BANDS bands of minimum hashes of a set that isn't empty."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(grams), 4096):
+        mixed = (grams[lo : lo + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], fps: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (place, place) that connect what pairs of Jaccard similarity `threshold` and up, within SIMILAR_RADIUS bits, connect."""
+    size = np.array([len(s) for s in sets])
+    left, links = np.arange(len(sets)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            k = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[k]) <= SIMILAR_RADIUS
+            near &= np.minimum(size[left], size[k]) >= threshold * np.maximum(size[left], size[k])
+            some = left[near]
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[i] for i in some])
+            place = np.searchsorted(sets[k], flat)
+            same = (sets[k][np.minimum(place, size[k] - 1)] == flat).astype(np.int64)
+            common = np.add.reduceat(same, np.cumsum(size[some]) - size[some])
+            found = some[common >= threshold * (size[some] + size[k] - common)]
+            links += [(int(k), int(i)) for i in found]
+            front.extend(found)
+            left = left[~np.isin(left, found)]
+    return links
+
+
+SETS = "_id long, _row long, sd long, fp long, bands array<long>"
+
+
+def set_prints(digest: DataFrame, shingle: int = 5) -> DataFrame:
+    """SETS of every row of digest (_id, _row, _text): a digest of the set of shingles (0 for none), its SimHash and its bands."""
+    schema = arrow_schema(SETS)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            sd, fp, bands = [], [], []
+            for x in batch.column(2):
+                grams = shingle_set(x.as_py() or b"", cache, shingle)
+                sd.append(xxhash.xxh64_intdigest(grams.tobytes(), 44) - (1 << 63) if len(grams) else 0)
+                fp.append(set_print(grams) if len(grams) else 0)
+                bands.append(band_keys(grams) if len(grams) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sd, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, schema.field("bands").type)], schema=schema)
+
+    return map_arrow(digest.select("_id", "_row", F.col("_text").cast("string").cast("binary").alias("_text")), stage, SETS)
+
+
+def similar_links(grouped: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Edges (a, b) between digests of sets, from the texts (c, i, j, own, sd, fp, _text) of the pair of blocks i and j of group c."""
+    by = ["c", "i", "j"]
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        sds: list[int] = []
+        fps: list[int] = []
+        sets: list[np.ndarray] = []
+        key = None
+
+        def links() -> Iterable[pa.RecordBatch]:
+            found = similar_forest(sets, np.array(fps, dtype=np.int64).view(np.uint64), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([sds[x[k]] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, sd, fp, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if key is not None and (c, i, j) != key:
+                    yield from links()
+                    sds, fps, sets = [], [], []
+                key = (c, i, j)
+                sds.append(sd)
+                fps.append(fp)
+                sets.append(shingle_set(text, cache, shingle))
+        if sets:
+            yield from links()
+
+    return map_arrow(grouped.select(*by, "sd", "fp", "_text").repartition(*by).sortWithinPartitions(*by), stage, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group that pairs of at least `threshold` Jaccard similarity of their word shingles chain together.
+
+    A pair is missed if it shares no band (at similarity 0.8 a chance of about 3e-5, less above) or lies beyond SIMILAR_RADIUS bits (about
+    1e-6) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
+    wordless texts are copies of each other. What stays, and what becomes of repeated rows and columns, is as for keep_one(). Bands are
+    for a threshold of 0.8 or more.
+    """
+    digest = packed(docs, _id=at(id_col).cast("long"), _row=F.xxhash64(*map(at, docs.columns)), _text=at(text_col))
+    prints = cut(set_prints(digest, shingle))
+    reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    keyed = reps.select("sd", F.posexplode("bands").alias("t", "k"))
+    heads = keyed.groupBy("t", "k").agg(F.min("sd").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    loose = connected_components(keyed.join(heads, ["t", "k"]).select(F.col("sd").alias("a"), "b").distinct())
+    # Groups are dealt in blocks, each pair of blocks to a task of its own.
+    blocks = loose.groupBy("root").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
+    named = loose.join(blocks, "root").select(F.col("root").alias("c"), F.col("node").alias("sd"), own.alias("own"), "n").join(reps.drop("bands"), "sd")
+    texts = digest.select(F.col("_row").alias("_rep"), F.col("_text").cast("string").cast("binary").alias("_text"))
+    held = named.join(texts, "_rep").dropDuplicates(["sd"])
+    dealt = held.select("c", "sd", "fp", "own", "_text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("c", "sd", "fp", "_text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    linked = connected_components(similar_links(dealt, shingle, threshold)).select(F.col("node").alias("sd"), "root")
+    ranked = prints.select("_id", "_row", "sd").join(linked, "sd", "left").withColumn("root", F.coalesce("root", "sd"))
+    order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    stays = ranked.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_i"), F.col("o.row").alias("_r")).distinct()
+    kept = digest.join(stays, (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    return kept.drop("_text").dropDuplicates(["_id", "_row"]).select(*unpacked(docs.columns))

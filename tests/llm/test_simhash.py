@@ -100,3 +100,58 @@ def test_empty_table(docs):
 def test_hexadecimal_form(docs):
     got = S.near_duplicates(docs([(1, "", "s")])).select(F.lower(F.lpad(F.hex("fp"), 16, "0"))).first()[0]
     assert got == "0" * 16
+
+
+def jaccard_groups(rows, n=5, threshold=0.8):
+    """Brute force: the ids that keep_one_similar() leaves, of distinct ids."""
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+    sets = {i: grams(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for k in sets:
+            a, b = sets[i], sets[k]
+            if i < k and (not a and not b or a | b and len(a & b) / len(a | b) >= threshold):
+                x, y = sorted((find(i), find(k)))
+                root[y] = x
+    return sorted(i for i in root if find(i) == i)
+
+
+def near_copies():
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows = []
+    for k in range(80):
+        own = text(rng.choice((6, 40, 120, 400)))
+        rows.append((10 * k, " ".join(own)))
+        for c in range(1, k % 4 + 1):
+            edited = list(own)
+            for _ in range(rng.randint(1, max(1, len(own) // 45))):  # each edit changes five shingles at most
+                edited[rng.randrange(len(own))] = f"x{rng.randrange(9000)}"
+            rows.append((10 * k + c, " ".join(edited)))
+    return [*rows, (5000, None), (5001, " "), (5002, "a b"), (5003, "A  b"), (5004, "a c")]
+
+
+def test_near_copies_go_as_by_brute_force(docs):
+    rows = near_copies()
+    table = docs([(i, t, "s") for i, t in rows] + [(5000, None, "s")])
+    got = S.keep_one_similar(table)
+    assert got.columns == table.columns
+    want = jaccard_groups(rows)
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert len(want) < len(rows) - 60
+    assert S.keep_one_similar(docs([])).count() == 0
+
+
+def test_near_copies_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 2)
+    rows = near_copies()
+    assert sorted(r.doc_id for r in S.keep_one_similar(docs([(i, t, "s") for i, t in rows])).collect()) == jaccard_groups(rows)
