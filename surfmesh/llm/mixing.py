@@ -1,23 +1,27 @@
-"""Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL functions alone.
+"""Mixing sources to target weights by Pfair scheduling; rows are handled with DataFrame and SQL functions alone.
 
-Each source's rows are numbered and cut in blocks. With weights as whole quanta q(s) of a period H, block j (from 0) of source s is released
-at floor(j H / q) and due by ceil((j + 1) H / q). In every slot the earliest deadline among the released blocks wins. The schedule
-of one period repeats, so it is worked out once, over H slots, whatever the size of the data; at any slot, while no source has
-run dry, each source is less than one block away from its target share.
+Each source's rows are numbered and cut in blocks. With weights as integers q(s) that add up to H, block j (from 0) of source s is released
+at floor(j H / q) and due by ceil((j + 1) H / q). In every slot the earliest deadline among the released blocks wins. The weights are taken
+exactly, as the fractions that their doubles are, so that at any slot, while no source has run dry, each source is less than one block
+away from its target share, however many blocks there are. The driver works out the slots, in one step a block.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfmesh.llm.common import at, cut, packed, unpacked
 
-#: Sources with quanta of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
+#: Sources with weights of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
 SOURCES = 256
-#: Quanta that a period has, about; and rows of a source that are numbered as one run.
-PERIOD, RUN_ROWS = 1000, 2_000
-#: Rows of the table of runs that are broadcast; a larger one is joined by shuffle.
+#: Rows of a source that are numbered as one run.
+RUN_ROWS = 2_000
+#: Rows of the tables of runs and of slots that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: What mixed() adds, in place of columns of these names.
 ADDED = ("_block", "_slot", "_position", "_in_target")
@@ -26,7 +30,8 @@ ADDED = ("_block", "_slot", "_position", "_in_target")
 def schedule_sql(quanta: str = "q") -> str:
     """SQL for the sources (positions in the array of quanta) of the slots of one period, earliest deadline first.
 
-    Ties go to the lower position. On one server with unit jobs this meets every deadline, as the quanta add up to the period.
+    Ties go to the lower position. On one server with unit jobs this meets every deadline, as the quanta add up to the period. The slots of
+    mixed() are those of scheduled(), which this states in SQL for small whole quanta.
     """
     pick = f"""array_min(filter(transform({quanta}, (w, s) -> if(a.done[s] * a.h div w <= t, struct(((a.done[s] + 1) * a.h + w - 1) div w as due, s as s), null)), x -> x is not null)).s"""
     step = f"transform(array({pick}), p -> named_struct('h', a.h, 'done', transform(a.done, (d, s) -> if(s = p, d + 1L, d)), 'out', concat(a.out, array(p))))[0]"
@@ -34,8 +39,44 @@ def schedule_sql(quanta: str = "q") -> str:
     return f"aggregate(sequence(0L, aggregate({quanta}, 0L, (x, w) -> x + w) - 1L), {start}, (a, t) -> {step}, a -> a.out)"
 
 
-def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, float] | None, power: float, period: int, sources: int) -> DataFrame:
-    """(source, g, n, q) of every source that has quanta of its own, and of the pool (source null, pool true): g numbers them."""
+def exact(weights: list[float]) -> list[int]:
+    """Integers in just the proportions of these doubles."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    whole = max((d for _, d in ratios), default=1)  # all are powers of two
+    return [n * (whole // d) for n, d in ratios]
+
+
+def scheduled(quanta: list[int], blocks: list[int]) -> tuple[np.ndarray, int]:
+    """The slots of each source's blocks, source by source, and the first slot that finds its source dry, earliest deadline first.
+
+    Ties go to the lower position, as in schedule_sql(). Later than that slot, blocks that aren't there leave their slots to others.
+    """
+    h, start = sum(quanta), np.concatenate([[0], np.cumsum(np.array(blocks, dtype=np.int64))]).tolist()
+    slots = np.zeros(start[-1], dtype=np.int64)
+    ready = [(-(-h // q), s, 0) for s, q in enumerate(quanta)]
+    heapify(ready)
+    waiting: list[tuple[int, int, int]] = []
+    t, end, todo = 0, None, start[-1]
+    while todo:
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * h // quanta[s]), s, j))
+        if not ready:
+            t = waiting[0][0]
+            continue
+        _, s, j = heappop(ready)
+        if j == blocks[s]:
+            end = t if end is None else end
+            continue
+        slots[start[s] + j] = t
+        todo, t = todo - 1, t + 1
+        heappush(waiting, ((j + 1) * h // quanta[s], s, j + 1))
+    return slots, t if end is None else end
+
+
+def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, float] | None, power: float, period: int | None, sources: int) -> DataFrame:
+    """(source, g, n, w, q) of every source that has a weight of its own, and of the pool (source null, pool true): g numbers them. q is the
+    weight in whole quanta of the period, if there is one."""
     ranked = counts.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n"), F.col(source_col).asc_nulls_last())))
     if weights is not None:
         if len(weights) > sources or any(w <= 0 for w in weights.values()):
@@ -51,22 +92,24 @@ def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, floa
     weight = F.pow("n", F.lit(power)) if weights is None else F.coalesce("w", F.lit(default))
     sized = pooled.select("k.pool", F.col("k.source").alias("_source"), "n", weight.alias("w"))
     whole = Window.partitionBy(F.lit(0))
-    sized = sized.withColumn("q", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(whole) * period)).cast("bigint"))
+    q = F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(whole) * period)) if period else F.lit(None)
+    sized = sized.withColumn("q", q.cast("bigint"))
     return sized.withColumn("g", (F.row_number().over(Window.orderBy("pool", F.col("_source").asc_nulls_first())) - 1).cast("int"))
 
 
-def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int = PERIOD, sources: int = SOURCES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int | None = None, sources: int = SOURCES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every row of docs once, with _block (of its source), _slot (of the schedule), _position (rows of the mix come in this order) and
     _in_target (before any source ran dry, so the target holds).
 
     weights: of the named sources; the others are pooled with the weight of the key None (the least weight if that is missing). Without
-    weights each source's is its number of rows to the given power. Rows of one source are ordered by a hash of their id (of their text
+    weights each source's is its number of rows to the given power. With a period, weights are rounded to whole quanta of it (1 at least), and
+    the target is that of the rounded ones. Rows of one source are ordered by a hash of their id (of their text
     where the id is null). A null source is a source like others; repeated rows are rows like any other; an empty table gives an empty table.
     """
     counts = docs.groupBy(at(source_col).alias("_source")).agg(F.count("*").alias("n"))
     groups = groups_of(counts, "_source", weights, power, period, sources)
     # SOURCES + 1 rows at most: broadcast where it is joined, its pool read as a value.
-    rows = cut(groups.select("pool", "_source", "n", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS)))
+    rows = cut(groups.select("pool", "_source", "n", "w", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS)))
     pool_g, pool_runs, n_runs = rows.agg(F.max(F.when(F.col("pool"), F.col("g"))), F.max(F.when(F.col("pool"), F.col("_runs"))), F.coalesce(F.sum("_runs"), F.lit(0))).first()
     h = F.when(at(id_col).isNotNull(), F.xxhash64(at(id_col))).otherwise(F.xxhash64(at(text_col)))
     own = rows.where("not pool").select(F.col("_source").alias("_s"), F.col("g").alias("_g1"), F.col("_runs").alias("_r1"))
@@ -77,20 +120,16 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     in_run = named.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_run").orderBy("_h", "_id")) - 1)
     numbered = in_run.join(F.broadcast(ahead) if n_runs <= BROADCAST_ROWS else ahead, ["_g", "_run"]).withColumn("_i", F.col("_i") + F.coalesce("_ahead", F.lit(0)))
 
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("g", "q", "n"))).alias("all")).where(F.size("all") > 0)
-    one = one.select("all", F.expr("transform(all, x -> x.q)").alias("q")).withColumn("h", F.expr("aggregate(q, 0L, (x, w) -> x + w)"))
-    slots = one.select("h", "all", F.posexplode(F.expr(schedule_sql())).alias("_t", "_g"))
-    slots = slots.withColumn("_nth", F.row_number().over(Window.partitionBy("_g").orderBy("_t")) - 1).withColumn("_q", F.expr("all[_g].q")).withColumn("_n", F.expr("all[_g].n"))
-    # The first slot that finds its source dry: that of the first block that isn't there.
-    dry = F.ceil(F.col("_n") / block)
-    ends = F.when(F.pmod(dry, F.col("_q")) == F.col("_nth"), F.floor(dry / F.col("_q")) * F.col("h") + F.col("_t"))
-    slots = slots.withColumn("_end", F.min(ends).over(Window.partitionBy(F.lit(0)))).select(F.col("_g").alias("_sg"), "_nth", "_t", "_q", "h", "_end")
-    quanta = rows.select(F.col("g").alias("_g"), F.col("q").alias("_gq"))
-    # One row a quantum of the period: at most PERIOD + SOURCES + 1.
-    placed = numbered.join(F.broadcast(quanta), "_g").withColumn("_block", F.floor(F.col("_i") / block))
-    placed = placed.join(F.broadcast(slots), (F.col("_g") == F.col("_sg")) & (F.pmod(F.col("_block"), F.col("_gq")) == F.col("_nth")))
-    slot = F.floor(F.col("_block") / F.col("_q")) * F.col("h") + F.col("_t")
-    return placed.select(*unpacked(docs.columns, ADDED), F.col("_block").cast("long").alias("_block"), slot.cast("long").alias("_slot"), (slot * block + F.pmod(F.col("_i"), F.lit(block))).cast("long").alias("_position"), (slot < F.col("_end")).alias("_in_target"))
+    listed = rows.orderBy("g").select("n", "w", "q").collect()
+    blocks = [-(-r.n // block) for r in listed]
+    slots, end = scheduled([r.q for r in listed] if period else exact([r.w for r in listed]), blocks)
+    g = np.repeat(np.arange(len(blocks), dtype=np.int32), blocks)
+    nth = np.arange(len(g)) - np.repeat(np.cumsum(blocks) - blocks, blocks) if blocks else np.zeros(0, dtype=np.int64)
+    places = cut(docs.sparkSession.createDataFrame(pa.table({"_sg": g, "_nth": nth.astype(np.int64), "_slot": slots})))
+    placed = numbered.withColumn("_block", F.floor(F.col("_i") / block).cast("long"))
+    placed = placed.join(F.broadcast(places) if len(g) <= BROADCAST_ROWS else places, (F.col("_g") == F.col("_sg")) & (F.col("_block") == F.col("_nth")))
+    position = F.col("_slot") * block + F.pmod(F.col("_i"), F.lit(block))
+    return placed.select(*unpacked(docs.columns, ADDED), F.col("_block"), F.col("_slot"), position.cast("long").alias("_position"), (F.col("_slot") < end).alias("_in_target"))
 
 
 def laid_out(mix: DataFrame, rows: int = 1_000) -> DataFrame:

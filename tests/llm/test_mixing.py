@@ -66,3 +66,37 @@ def test_small_tables(docs):
     assert M.mixed(docs([])).count() == 0
     one = M.mixed(docs([(None, None, None)])).collect()
     assert [(r._position, r._in_target) for r in one] == [(0, True)]
+
+
+def drift(weights, slots, blocks, end):
+    """The largest distance of any source from its exact share, in blocks, before `end`."""
+    total, at, worst = sum(weights), 0, 0
+    for w, n in zip(weights, blocks, strict=True):
+        for j, t in enumerate(sorted(slots[at : at + n])):
+            if t < end:  # just before and just after the block
+                worst = max(worst, t * w / total - j, j + 1 - (t + 1) * w / total)
+        at += n
+    return worst
+
+
+@pytest.mark.parametrize("rows", [150_000, 1_000_000, 10_000_000])
+def test_drift_from_the_exact_weights_does_not_grow(rows):
+    sizes = [rows // 3] + [rows * 2 // 60] * 20
+    weights, blocks = [n**0.5 for n in sizes], [-(-n // 64) for n in sizes]
+    slots, end = M.scheduled(M.exact(weights), blocks)
+    assert len(set(slots.tolist())) == sum(blocks) and end > 0.5 * sum(blocks)
+    assert drift(weights, slots.tolist(), blocks, end) < 1 + 1e-6
+
+
+def test_slots_are_those_of_the_sql(spark):
+    for quanta in ([5, 3, 2], [1, 1, 1, 97], [7, 11, 13, 17, 19]):
+        slots, end = M.scheduled(quanta, quanta)
+        want = schedule(spark, quanta)
+        assert [want[t] for t in slots] == [s for s, q in enumerate(quanta) for _ in range(q)] and end == sum(quanta)
+
+
+def test_mix_takes_small_weights_exactly(docs):
+    rows = [(k, "t", "rare" if k % 30 == 0 else "hot") for k in range(9000)]
+    got = M.mixed(docs(rows), weights={"hot": 0.9998, "rare": 0.0002}, block=1).collect()
+    slots = {r._slot: r.source for r in got if r._in_target}
+    assert len(slots) > 8000 and sum(s == "rare" for s in slots.values()) in (1, 2)
