@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from surfmesh.llm.common import at, cut, packed, unpacked
 
-#: Sources with weights of their own; those of fewer rows are pooled as one. It bounds the schedule and what is broadcast.
-SOURCES = 256
 #: Rows of a source that are numbered as one run.
 RUN_ROWS = 2_000
-#: Rows of the tables of runs and of slots that are broadcast; larger ones are joined by shuffle.
+#: Rows of the tables of sources, of runs and of slots that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: What mixed() adds, in place of columns of these names.
 ADDED = ("_block", "_slot", "_position", "_in_target")
@@ -74,22 +72,22 @@ def scheduled(quanta: list[int], blocks: list[int]) -> tuple[np.ndarray, int]:
     return slots, t if end is None else end
 
 
-def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, float] | None, power: float, period: int | None, sources: int) -> DataFrame:
+def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, float] | None, power: float, period: int | None, sources: int | None) -> DataFrame:
     """(source, g, n, w, q) of every source that has a weight of its own, and of the pool (source null, pool true): g numbers them. q is the
     weight in whole quanta of the period, if there is one."""
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n"), F.col(source_col).asc_nulls_last())))
     if weights is not None:
-        if len(weights) > sources or any(w <= 0 for w in weights.values()):
-            raise ValueError(f"weights: at most {sources} of them, all above 0")
+        if any(w <= 0 for w in weights.values()):
+            raise ValueError("weights: all above 0")
         spark = counts.sparkSession
         listed = spark.createDataFrame([(k, float(w)) for k, w in weights.items() if k is not None] or [("", 0.0)], "_s string, _w double")
-        ranked = ranked.join(F.broadcast(listed), F.col(source_col).cast("string") == F.col("_s"), "left").withColumn("_own", F.col("_w").isNotNull()).withColumn("_rank", F.when(F.col("_own"), F.col("_rank")))
+        ranked = counts.join(F.broadcast(listed), F.col(source_col).cast("string") == F.col("_s"), "left").withColumn("_own", F.col("_w").isNotNull())
     else:
-        ranked = ranked.withColumn("_own", F.col("_rank") <= sources).withColumn("_w", F.lit(None).cast("double"))
+        rank = F.row_number().over(Window.orderBy(F.desc("n"), F.col(source_col).asc_nulls_last()))
+        ranked = counts.withColumn("_own", rank <= sources if sources else F.lit(True)).withColumn("_w", F.pow("n", F.lit(power)))
     key = F.struct((~F.col("_own")).alias("pool"), F.when(F.col("_own"), F.col(source_col)).alias("source"))
-    pooled = ranked.groupBy(key.alias("k")).agg(F.sum("n").alias("n"), F.max("_w").alias("w"))
+    pooled = ranked.groupBy(key.alias("k")).agg(F.sum("n").alias("n"), F.sum("_w").alias("w"))
     default = float(weights.get(None, min(weights.values()))) if weights else None
-    weight = F.pow("n", F.lit(power)) if weights is None else F.coalesce("w", F.lit(default))
+    weight = F.coalesce("w", F.lit(default).cast("double"))
     sized = pooled.select("k.pool", F.col("k.source").alias("_source"), "n", weight.alias("w"))
     whole = Window.partitionBy(F.lit(0))
     q = F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(whole) * period)) if period else F.lit(None)
@@ -97,28 +95,31 @@ def groups_of(counts: DataFrame, source_col: str, weights: dict[str | None, floa
     return sized.withColumn("g", (F.row_number().over(Window.orderBy("pool", F.col("_source").asc_nulls_first())) - 1).cast("int"))
 
 
-def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int | None = None, sources: int = SOURCES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int | None = None, sources: int | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every row of docs once, with _block (of its source), _slot (of the schedule), _position (rows of the mix come in this order) and
     _in_target (before any source ran dry, so the target holds).
 
     weights: of the named sources; the others are pooled with the weight of the key None (the least weight if that is missing). Without
     weights each source's is its number of rows to the given power. With a period, weights are rounded to whole quanta of it (1 at least), and
-    the target is that of the rounded ones. Rows of one source are ordered by a hash of their id (of their text
+    the target is that of the rounded ones. Every source is scheduled by itself, unless `sources` asks for the largest alone: the others are
+    then pooled, with the sum of their weights. The driver holds a few numbers for each source and for each block. Rows of one source are ordered by a hash of their id (of their text
     where the id is null). A null source is a source like others; repeated rows are rows like any other; an empty table gives an empty table.
     """
     counts = docs.groupBy(at(source_col).alias("_source")).agg(F.count("*").alias("n"))
     groups = groups_of(counts, "_source", weights, power, period, sources)
-    # SOURCES + 1 rows at most: broadcast where it is joined, its pool read as a value.
+    # A row for each source: the pool is read as a value.
     rows = cut(groups.select("pool", "_source", "n", "w", "q", "g").withColumn("_runs", F.ceil(F.col("n") / RUN_ROWS)))
-    pool_g, pool_runs, n_runs = rows.agg(F.max(F.when(F.col("pool"), F.col("g"))), F.max(F.when(F.col("pool"), F.col("_runs"))), F.coalesce(F.sum("_runs"), F.lit(0))).first()
+    n_own, pool_g, pool_runs, n_runs = rows.agg(F.count("*"), F.max(F.when(F.col("pool"), F.col("g"))), F.max(F.when(F.col("pool"), F.col("_runs"))), F.coalesce(F.sum("_runs"), F.lit(0))).first()
     h = F.when(at(id_col).isNotNull(), F.xxhash64(at(id_col))).otherwise(F.xxhash64(at(text_col)))
     own = rows.where("not pool").select(F.col("_source").alias("_s"), F.col("g").alias("_g1"), F.col("_runs").alias("_r1"))
-    named = packed(docs, _h=h, _id=at(id_col), _source=at(source_col)).join(F.broadcast(own), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    named = packed(docs, _h=h, _id=at(id_col), _source=at(source_col)).join(F.broadcast(own) if n_own <= BROADCAST_ROWS else own, F.col("_source").eqNullSafe(F.col("_s")), "left")
     named = named.select("_doc", "_id", "_h", F.coalesce(F.col("_g1"), F.lit(pool_g).cast("int")).alias("_g"), F.pmod("_h", F.coalesce(F.col("_r1"), F.lit(pool_runs).cast("bigint"))).alias("_run"))
     runs = named.groupBy("_g", "_run").agg(F.count("*").alias("_rows"))
     ahead = runs.select("_g", "_run", (F.sum("_rows").over(Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))).alias("_ahead"))
     in_run = named.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_run").orderBy("_h", "_id")) - 1)
-    numbered = in_run.join(F.broadcast(ahead) if n_runs <= BROADCAST_ROWS else ahead, ["_g", "_run"]).withColumn("_i", F.col("_i") + F.coalesce("_ahead", F.lit(0)))
+    i = F.col("_i") + F.coalesce("_ahead", F.lit(0))
+    # One projection: through two, Spark doesn't prune the columns of _doc.
+    numbered = in_run.join(F.broadcast(ahead) if n_runs <= BROADCAST_ROWS else ahead, ["_g", "_run"]).withColumns({"_i": i, "_block": F.floor(i / block).cast("long")})
 
     listed = rows.orderBy("g").select("n", "w", "q").collect()
     blocks = [-(-r.n // block) for r in listed]
@@ -126,8 +127,7 @@ def mixed(docs: DataFrame, *, weights: dict[str | None, float] | None = None, po
     g = np.repeat(np.arange(len(blocks), dtype=np.int32), blocks)
     nth = np.arange(len(g)) - np.repeat(np.cumsum(blocks) - blocks, blocks) if blocks else np.zeros(0, dtype=np.int64)
     places = cut(docs.sparkSession.createDataFrame(pa.table({"_sg": g, "_nth": nth.astype(np.int64), "_slot": slots})))
-    placed = numbered.withColumn("_block", F.floor(F.col("_i") / block).cast("long"))
-    placed = placed.join(F.broadcast(places) if len(g) <= BROADCAST_ROWS else places, (F.col("_g") == F.col("_sg")) & (F.col("_block") == F.col("_nth")))
+    placed = numbered.join(F.broadcast(places) if len(g) <= BROADCAST_ROWS else places, (F.col("_g") == F.col("_sg")) & (F.col("_block") == F.col("_nth")))
     position = F.col("_slot") * block + F.pmod(F.col("_i"), F.lit(block))
     return placed.select(*unpacked(docs.columns, ADDED), F.col("_block"), F.col("_slot"), position.cast("long").alias("_position"), (F.col("_slot") < end).alias("_in_target"))
 

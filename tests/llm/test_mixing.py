@@ -100,3 +100,21 @@ def test_mix_takes_small_weights_exactly(docs):
     got = M.mixed(docs(rows), weights={"hot": 0.9998, "rare": 0.0002}, block=1).collect()
     slots = {r._slot: r.source for r in got if r._in_target}
     assert len(slots) > 8000 and sum(s == "rare" for s in slots.values()) in (1, 2)
+
+
+def test_every_source_has_its_own_weight(docs):
+    rows = [(k, "t", f"s{k % 400:03}") for k in range(4000)]
+    got = M.mixed(docs(rows), block=2).collect()
+    assert all(r._in_target for r in got)
+    # Equal sources take turns: of any 400 slots each has one.
+    for lo in range(0, 2000, 400):
+        assert len({r.source for r in got if lo <= r._slot < lo + 400}) == 400
+    weights = {f"s{k:03}": 1.0 + k % 2 for k in range(400)}
+    first = Counter({r._slot: r.source for r in M.mixed(docs(rows), weights=weights, block=2).collect() if r._slot < 600}.values())
+    assert first == {s: int(w) for s, w in weights.items()}
+
+
+def test_a_pool_weighs_what_its_members_do(docs):
+    rows = [(k, "t", f"s{k % 10}") for k in range(1000)]
+    got = M.mixed(docs(rows), sources=2, block=1).collect()
+    assert Counter(r.source in ("s0", "s1") for r in got if r._slot < 100) == {True: 20, False: 80}
