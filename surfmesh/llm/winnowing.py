@@ -2,7 +2,8 @@
 
 The lines of a text (those with a word, white space evened out) are hashed, and so are the grams of GRAM neighbouring lines. Of every WINDOW
 neighbouring grams the least is kept (the last of equals), with its place. Two texts with GRAM + WINDOW - 1 lines in a row in common share
-a fingerprint for certain. Each fingerprint's later places are joined with its first one and the match is extended both ways.
+a fingerprint for certain. Long lines are fingerprinted one by one besides, so that a repeat of more than 50 words shares one on however few
+lines it stands. Each fingerprint's later places are joined with its first one and the match is extended both ways.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from surfmesh.llm.common import arrow_schema, cut, map_arrow
 from surfmesh.llm.spans import cut_out, keyed
 
 GRAM, WINDOW = 2, 3
+#: Words, or bytes of UTF-8 (for scripts without spaces), from which on a line has a fingerprint of its own. Of three lines with more than 50
+#: words one has 17 at least; more lines are the windows' part.
+LONG_WORDS, LONG_BYTES = 17, 200
 _SPACE = " \t\v\f\r"
 
 
@@ -55,6 +59,21 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
+def long_lines(text: str) -> np.ndarray:
+    """Places, among the lines with a word, of those that have a fingerprint of their own."""
+    lines = [words for line in text.split("\n") if (words := line.split())]
+    return np.array([k for k, words in enumerate(lines) if len(words) >= LONG_WORDS or len(" ".join(words).encode("utf-8", "surrogatepass")) >= LONG_BYTES], dtype=np.int64)
+
+
+def fingerprints(text: str, hashes: list[int], gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of a text with these line hashes, and their places: winnowed grams and long lines."""
+    grams, alone = grams_of(hashes, gram), grams_of(hashes, 1)
+    places = winnow(grams, window)
+    own = long_lines(text) if len(hashes) else places
+    own = own[~np.isin(own, places)] if min(gram, len(hashes)) == 1 else own  # those are listed already
+    return np.concatenate([grams[places], alone[own]]), np.concatenate([places, own])
+
+
 def extended(a: list[int], b: list[int], p: int, q: int) -> tuple[int, int]:
     """The run of lines of a around p that equals b around q: its first line, and the one after its last."""
     back = 0
@@ -79,9 +98,8 @@ def lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
             rows: list[tuple] = []
             for text in (x.as_py() for x in batch.column(2)):
                 hashes, starts, ends = lines_of(text or "")
-                grams = grams_of(hashes, gram)
-                places = winnow(grams, window)
-                rows.append((hashes, starts, ends, grams[places].view(np.int64).tolist() if len(places) else [], places.tolist()))
+                marks, places = fingerprints(text or "", hashes, gram, window)
+                rows.append((hashes, starts, ends, marks.view(np.int64).tolist(), places.tolist()))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
@@ -124,7 +142,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The earlier of two places is that of the smallest id (null last), then of the smallest hash of the text, then the first in it. A run goes
     if it equals the lines around the first place of a fingerprint of its own. So of gram + window - 1 lines in a row that stand earlier
-    too, some always go; a text of fewer lines goes when all its lines are another text's whole content or a gram of it. Blank lines are passed
+    too, some always go, and so does every line of LONG_WORDS words or LONG_BYTES bytes; a text of fewer lines goes when all its lines are another text's whole content or a gram of it. Blank lines are passed
     over; rows equal in id and text count as one. A null text stays null; an empty table gives an empty table; other columns are not read.
     """
     texts = cut(lines(docs, id_col=id_col, text_col=text_col, gram=gram, window=window))

@@ -120,3 +120,23 @@ def test_odd_texts_for_lines(docs):
     assert len(got) == len(rows) and by[1].text == t and by[2].text == "" and by[None].text == "own\n"
     assert by[3].text is None and by[4].text == "\n\n" and len(by[5].text) < 100
     assert W.deduplicated(docs([])).count() == 0
+
+
+def test_repeats_of_more_than_fifty_words_on_few_lines_go(docs):
+    rng = random.Random(17)
+    shared = [[text(rng, n) for n in sizes] for sizes in ((51,), (26, 25), (3, 48), (17, 17, 17), (17, 33, 2), (40, 5, 6))] + [["語" * 100]]
+    rows = []
+    for k in range(42):
+        own = [text(rng, rng.randint(1, 30)) for _ in range(rng.randint(2, 9))]
+        at = rng.randrange(1, len(own))
+        rows.append((k, "\n".join([*own[:at], *shared[k % 7], *own[at:]])))
+    rows += [(50, shared[0][0]), (51, "first\n" + shared[0][0])]
+    got = {r.doc_id: r for r in W.deduplicated(docs([(i, t, "s") for i, t in rows])).collect()}
+    for i, t in rows:
+        kept = got[i].text.split("\n")
+        if i < 7:
+            assert got[i].text == t
+        elif i < 42:
+            assert not set(kept) & set(shared[i % 7])
+            assert len(kept) == len(t.split("\n")) - len(shared[i % 7])
+    assert got[50].text == "" and got[51].text == "first\n"
