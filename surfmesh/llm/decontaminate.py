@@ -78,7 +78,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     least `threshold` similar, with its most similar window (the first of equals). _row is the hash of the text.
 
     Null or wordless texts and items match nothing; of texts with fewer shingles than the item the whole text is the window. Items and
-    documents with null ids match like others; rows equal in id and text come back once. Other columns are not read.
+    documents with null ids match like others; an item of fewer than `words` words matches only texts that it is the whole of (in words),
+    never a passage of a longer one; rows equal in id and text come back once. Other columns are not read.
     """
     items = benchmark.select(at(item_col).alias("_item"), shingles(at(item_text_col), words).alias("_b")).where(F.size("_b") > 0).distinct()
     items = items.withColumn("_n", F.size("_b")).withColumn("_ifp", simhash(F.col("_b")))
