@@ -61,6 +61,36 @@ def test_lanes_of_a_long_text_agree_with_one_sweep():
     assert np.allclose(ahead, a, atol=1e-9)
 
 
+@pytest.mark.parametrize("pull", [0.0, 0.5, 3.0, 12.0])
+def test_marginals_do_not_depend_on_their_neighbours(pull):
+    """However strongly labels stick together, a text between others has the marginals that it has alone."""
+    rng = np.random.default_rng(8)
+    trans = np.array([[pull, 0.0], [0.0, pull]])
+    texts = [rng.normal(size=n) * 2 - 0.3 for n in (700, 3, 1, 900, 260)]
+    first = np.concatenate([np.arange(len(t)) == 0 for t in texts])
+    p, _, _ = T.marginals(np.concatenate(texts), first, trans)
+    alone = np.concatenate([T.marginals(t, np.arange(len(t)) == 0, trans)[0] for t in texts])
+    assert np.abs(p - alone).max() < 1e-11
+
+
+def test_training_in_chunks_is_training_at_once(monkeypatch):
+    rows = corpus(120)
+    texts, toxic = [t for _, t, _ in rows], [y == 1 for *_, y in rows]
+    whole = T.train(texts, toxic)
+    monkeypatch.setattr(T.chunks_of, "__defaults__", (100,))
+    parts = T.train(texts, toxic)
+    assert whole.weights.keys() == parts.weights.keys() and all(abs(whole.weights[k] - parts.weights[k]) < 1e-6 for k in whole.weights)
+    assert np.allclose(whole.doc, parts.doc, atol=1e-6)
+
+
+def test_long_texts_are_learnt_from(spark, docs):
+    """All toxic texts are long ones."""
+    rows = [(i, t if not y else t + " harmless filler" * 30_000, y) for i, t, y in corpus(100)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = T.fit(docs([(i, t, "s") for i, t, _ in rows]), labels)
+    assert any("zonk" in f for f in model.weights)
+
+
 def test_scores_tell_held_out_texts_apart(docs, model):
     rows = corpus(200, seed=7)
     got = {r.doc_id: r for r in T.score(docs([(i, t, "s") for i, t, _ in rows]), model).collect()}
