@@ -39,15 +39,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(at(id_col).cast("long").alias("_id"), F.coalesce(F.xxhash64(at(text_col).cast("string")), F.lit(0)).alias("_row"), at(text_col).cast("string").alias("_text"))
 
 
-def cut_out(docs: DataFrame, removed: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+def cut_out(docs: DataFrame, removed: DataFrame, *, id_col: str, text_col: str, also: tuple[str, ...] = ()) -> DataFrame:
     """id_col and the columns of CUT of every row of docs: its text without the spans that removed (_id, _row, _spans) lists for it.
 
-    n_removed counts code points; a null text stays null. Rows equal in id and text get the same spans.
+    n_removed counts code points; a null text stays null. Rows equal in id and text get the same spans. also: lists of spans in removed that are
+    carried along (empty where there are none).
     """
-    schema = arrow_schema(f"{id_col} long, {CUT}")
+    out = f"{id_col} long, {CUT}" + "".join(f", {c} array<struct<start:int,end:int>>" for c in also)
+    schema = arrow_schema(out)
     rows = keyed(docs, id_col, text_col)
     same = rows["_id"].eqNullSafe(removed["_id"]) & (rows["_row"] == removed["_row"])
-    both = rows.join(removed, same, "left").select(rows["_id"], "_text", "_spans")
+    both = rows.join(removed, same, "left").select(rows["_id"], "_text", "_spans", *(F.coalesce(F.col(c), F.array()).alias(c) for c in also))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +59,6 @@ def cut_out(docs: DataFrame, removed: DataFrame, *, id_col: str, text_col: str)
                 texts.append(without(text, own) if own else text)
                 spans.append([{"start": lo, "end": hi} for lo, hi in own])
                 gone.append(sum(hi - lo for lo, hi in own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(spans, schema.field("removed").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(spans, schema.field("removed").type), *(batch.column(3 + k).cast(schema.field(c).type) for k, c in enumerate(also))], schema=schema)
 
-    return map_arrow(both, stage, f"{id_col} long, {CUT}")
+    return map_arrow(both, stage, out)

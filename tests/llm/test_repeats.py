@@ -38,6 +38,100 @@ def test_later_passages_go_and_the_first_stays(docs):
             assert len(gone) >= 40 and set(gone) <= set(shared[i % 5].split())
 
 
+def plain(line):
+    """A line as it is compared: words without anything but letters and digits, in lower case."""
+    return " ".join(w for w in ("".join(c for c in x.lower() if c.isalnum()) for x in line.split()) if w)
+
+
+def line_rows(rng, n=60):
+    pool = [text(rng, rng.choice([1, 2, 5, 12, 30, 90])) for _ in range(40)]
+    rows = []
+    for k in range(n):
+        lines = [rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool) if rng.random() < 0.5 else text(rng, rng.choice([1, 3, 15, 70])) for _ in range(rng.randint(0, 9))]
+        rows.append((k, "\n".join([*lines, *[""] * rng.randint(0, 2), *lines[: rng.randint(0, 2)]])))
+    return rows
+
+
+def test_whole_repeated_lines_match_brute_force(docs):
+    """With min_line_words=1 what stays of every line that equals an earlier one is nothing, and other lines lose no more than units."""
+    rows = line_rows(random.Random(21))
+    got = {r.doc_id: r for r in U.deduplicated(docs([(i, t, "s") for i, t in rows]), min_line_words=1).collect()}
+    kept = {r.doc_id: r for r in U.deduplicated(docs([(i, t, "s") for i, t in rows])).collect()}
+    seen, repeats = set(), 0
+    for i, t in rows:
+        at, want = 0, []
+        for line in t.split("\n"):
+            if plain(line):
+                start = at + len(line) - len(line.lstrip())
+                if plain(line) in seen:
+                    want.append((start, start + len(line.strip())))
+                seen.add(plain(line))
+            at += len(line) + 1
+        listed = [(s.start, s.end) for s in got[i].repeated_lines]
+        # A line may also be pieced together from units of several earlier ones.
+        assert set(want) <= set(listed) and len(listed) - len(want) <= 1
+        assert listed == [(s.start, s.end) for s in kept[i].repeated_lines]
+        gone = [(s.start, s.end) for s in got[i].removed]
+        assert all(any(lo <= a and b <= hi for lo, hi in gone) for a, b in want)
+        assert got[i].text == without(t, gone) and kept[i].text == without(t, [(s.start, s.end) for s in kept[i].removed])
+        repeats += len(want)
+    assert repeats > 100
+
+
+def test_repeated_windows_match_brute_force(docs):
+    """Of every run of 50 words and more that stands earlier too, at most a few words at either end stay; nothing else goes but repeats."""
+    rng = random.Random(22)
+    broken = lambda n: [w + rng.choice(["", "", "", "\n"]) for w in text(rng, n).split()]
+    shared = [broken(rng.choice([55, 70, 200])) for _ in range(12)]
+    rows = []
+    for k in range(70):
+        words = broken(rng.randint(0, 150))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(shared)
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r for r in U.deduplicated(docs([(i, t, "s") for i, t in rows])).collect()}
+    windows, words_before, runs = set(), set(), 0
+    for i, t in rows:
+        words = t.split()
+        own = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        again = [w in windows for w in own]
+        inside = [any(again[max(0, k - 49) : k + 1]) for k in range(len(words))]
+        place, at = [], 0
+        for w in words:
+            at = t.index(w, at)
+            place.append(at)
+            at += len(w)
+        gone = [any(s.start <= p < s.end for s in got[i].removed) for p in place]
+        k = 0
+        while k < len(words):
+            if inside[k]:
+                end = k
+                while end < len(words) and inside[end]:
+                    end += 1
+                assert sum(not g for g in gone[k:end]) <= 24, (i, k, end)
+                runs += 1
+                k = end
+            else:
+                k += 1
+        before = words_before | set(words)
+        assert all(w in before for w, g in zip(words, gone) if g)
+        if not any(w in windows for w in own) and not set(own) & windows and len(set(words)) == len(words) and not set(words) & words_before:
+            assert not any(gone)
+        windows |= set(own)
+        words_before |= set(words)
+    assert runs > 30
+
+
+def test_a_common_line_is_dealt_out(docs):
+    """Of a line that every text has, a batch sends its first place alone to the digest's task."""
+    rows = [(k, f"the same line in all of them\nown {k}", "s") for k in range(500)]
+    found = U.units(docs(rows).coalesce(1)).collect()
+    keys = [r._key for r in found]
+    assert max(keys.count(k) for k in set(keys)) <= 2
+    assert sum(r._words >= U.LATER for r in found) >= 498
+
+
 def test_units_are_found_again_in_other_surroundings():
     rng = random.Random(12)
     passage = text(rng, 60)
