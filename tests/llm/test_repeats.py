@@ -169,41 +169,82 @@ def test_extension():
     assert W.extended([1, 1, 1, 1], [1, 1, 1, 1], 2, 0) == (2, 4)
 
 
-def lines_removed(rows):
-    """What deduplicated() says, for distinct ids and texts: every later fingerprint against its first place."""
-    marks, first, out = {}, {}, {}
-    for i, t in rows:
-        h, s, e = W.lines_of(t)
-        g = W.grams_of(h)
-        marks[i] = h, s, e, [(int(g[p]), int(p)) for p in W.winnow(g)]
-    for i, _ in sorted(rows):
-        for m, p in marks[i][3]:
-            first.setdefault(m, (i, p))
-    for i, t in rows:
-        h, s, e, own = marks[i]
-        spans = []
-        for m, p in own:
-            if first[m] != (i, p):
-                j, q = first[m]
-                lo, hi = W.extended(h, marks[j][0], p, q)
-                spans.append((s[lo], e[hi - 1]))
-        out[i] = joined(spans)
+def line_lists(rows):
+    """The lines that count of each text, in order of id, without the operator's help."""
+    return [(i, [" ".join(x.split()) for x in t.split("\n") if x.split()]) for i, t in sorted(rows)]
+
+
+def runs_to_go(rows, least):
+    """For each text which of its lines are in a run of at least `least` lines that stands at an earlier place."""
+    seen, out = set(), {}
+    for i, lines in line_lists(rows):
+        gone = [False] * len(lines)
+        for k in range(len(lines) - least + 1):
+            run = tuple(lines[k : k + least])
+            if run in seen:
+                gone[k : k + least] = [True] * least
+            seen.add(run)
+        out[i] = gone
+    return out
+
+
+def lines_left(text, removed):
+    """Which of a text's lines that count are not within the removed spans."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.split():
+            out.append(not any(s.start <= at and at + len(line) <= s.end for s in removed))
+        at += len(line) + 1
     return out
 
 
+def check_runs(docs, rows):
+    got = {r.doc_id: r for r in W.deduplicated(docs([(i, t, "s") for i, t in rows])).collect()}
+    sure, may, texts, n = runs_to_go(rows, W.GRAM + W.WINDOW - 1), runs_to_go(rows, 1), dict(rows), 0
+    for i, lines in line_lists(rows):
+        left = lines_left(texts[i], got[i].removed)
+        long = [len(x.split()) >= W.LONG_WORDS for x in lines]
+        # Runs of four and long lines that stand earlier go, whatever else they stand beside; what stands nowhere earlier stays.
+        assert not any(stays and (must or (big and again)) for stays, must, big, again in zip(left, sure[i], long, may[i], strict=True)), i
+        assert all(stays or again for stays, again in zip(left, may[i], strict=True)), i
+        assert got[i].text == without(texts[i], [(s.start, s.end) for s in got[i].removed])
+        n += sum(sure[i])
+    return n
+
+
 def test_line_runs_match_brute_force(docs):
     rng = random.Random(15)
-    pool = [f"line {k} of the pool" for k in range(40)]
+    pool = [f"line {k} of the pool" + " and more" * rng.choice([0, 0, 9]) for k in range(40)]
     rows = []
-    for k in range(50):
+    for k in range(120):
         lines = [f"own {k} {rng.random()}" if rng.random() < 0.5 else rng.choice(pool) for _ in range(rng.randint(1, 12))]
         at = rng.randrange(30)
         lines[rng.randrange(len(lines)) :] = pool[at : at + rng.randint(0, 8)]
         rows.append((k, "\n".join(lines)))
-    got = {r.doc_id: r for r in W.deduplicated(docs([(i, t, "s") for i, t in rows])).collect()}
-    for i, want in lines_removed(rows).items():
-        assert [(s.start, s.end) for s in got[i].removed] == want
-        assert got[i].text == without(dict(rows)[i], want)
+    assert check_runs(docs, rows) > 100
+
+
+def test_runs_longer_than_their_first_place_go_whole(docs):
+    """Trios: the first text has two or three lines of a passage, a middle one has other parts of it, a later one all of what the second has."""
+    rng = random.Random(18)
+    rows = []
+    for k in range(60):
+        passage = [f"passage {k} line {j}" for j in range(rng.randint(4, 9))]
+        parts = [passage[:2], passage, passage[1:3], passage[-3:], passage]
+        for j, part in enumerate(parts):
+            rows.append((k * 5 + j, "\n".join([f"head {k} {j}", *part, f"tail {k} {j}"])))
+    assert check_runs(docs, rows) > 300
+
+
+def test_one_text_that_all_others_match(docs):
+    """The first text is long and every other one has a piece of it."""
+    rng = random.Random(19)
+    first = [f"line {j} of the first" for j in range(400)]
+    rows = [(0, "\n".join(first))]
+    for k in range(1, 150):
+        at = rng.randrange(390)
+        rows.append((k, "\n".join([f"own {k}", *first[at : at + rng.randint(4, 9)], f"end {k}"])))
+    assert check_runs(docs, rows) > 500
 
 
 def test_odd_texts_for_lines(docs):
