@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from surfmesh.plans.lineage import connected_components, cut, shared_dir
+from surfmesh.plans.lineage import connected_components, cut, numbered, shared_dir
 
-__all__ = ["arrow_schema", "at", "connected_components", "cut", "map_arrow", "packed", "shared_dir", "unpacked"]
+__all__ = ["arrow_schema", "at", "connected_components", "cut", "map_arrow", "md5_bits", "numbered", "packed", "shared_dir", "unpacked"]
 
 #: Bytes of text that one Arrow batch of a Python stage holds at most (a single longer text makes a batch of its own).
 BATCH_BYTES = 16 << 20
@@ -31,6 +31,12 @@ def at(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def md5_bits(id_col: Column, text_col: Column) -> Column:
+    """The first 60 bits of the MD5 of an id as text, or of the text where the id is null: a hash that every SQL engine can work out. 0 where both are."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), text_col.cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return F.coalesce(bits, F.lit(0).cast("bigint"))
+
+
 def map_arrow(df: DataFrame, stage: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes as well as in rows."""
     spark = df.sparkSession

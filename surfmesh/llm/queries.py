@@ -25,7 +25,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document, with that shard's bytes."""
+    """The shard of every document, with the bytes of its text."""
     found = sharding.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_shard").alias("shard"), F.col("_bytes").alias("n_bytes"))
     return found
 
@@ -76,6 +76,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_html_mincut, op4_compression_bands, op5_line_winnowing, op6_warc_zip, op7_simhash, op8_unit_dedup, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
+    # The shortest prefix of the hash whose rows fit the limit; at 60 bits all that is left.
+    "op2_sharding": """
+with d as (select doc_id, coalesce(strlen(text), 0) as n_bytes,
+  coalesce(('0x' || substr(md5(coalesce(doc_id::varchar, text)), 1, 15))::bigint, 0) as h from documents),
+p as (select doc_id, n_bytes, h, k, h >> (60 - k) as cell from d, range(0, 61) r(k)),
+s as (select k, cell from p group by k, cell having sum(n_bytes) <= 33554432),
+f as (select doc_id, h, n_bytes, min(k) as k from p join s using (k, cell) group by doc_id, h, n_bytes)
+select doc_id, substr(lpad(bin(h), 60, '0'), 1, k::int) as shard, n_bytes::bigint as n_bytes from f""",
+    # One step a slot: of the released blocks the one with the earliest deadline, the lower source on ties.
+    "op10_mixing": """
+with recursive d as (select doc_id, source, coalesce(('0x' || substr(md5(coalesce(doc_id::varchar, text)), 1, 15))::bigint, 0) as h from documents),
+s as (select source, count(*) as n, row_number() over (order by source nulls first) - 1 as g from d group by source),
+a as (select list(sqrt(n) order by g) as w, list((n + 63) // 64 order by g) as b, sum(sqrt(n)) as t, count(*) as c from s),
+v as (
+  select -1::bigint as slot, -1::bigint as pick, list_transform(b, lambda x: 0::bigint) as done, null::bigint as dry, 0::bigint as tick from a
+  union all
+  select slot + 1, pick.g, list_transform(range(len(done)), lambda i: case when i = pick.g then done[i + 1] + 1 else done[i + 1] end),
+    case when dry is null and late is not null and (early is null or late < early) then slot + 1 else dry end, greatest(tick, pick.due0) + 1
+  from (
+    select *, coalesce(early, list_min(list_transform(list_filter(jobs, lambda x: x.due0 = soon), lambda x: {'due': x.due, 'g': x.g, 'due0': x.due0}))) as pick
+    from (
+      select *, list_min(list_filter(jobs, lambda x: x.due0 <= tick)) as early, list_min(list_transform(jobs, lambda x: x.due0)) as soon,
+        list_min(list_filter(list_transform(range(c), lambda i: case when done[i + 1] = b[i + 1] then {'due': ceil((done[i + 1] + 1) * t / w[i + 1] - 1e-9)::bigint, 'g': i,
+          'due0': floor(done[i + 1] * t / w[i + 1] + 1e-9)::bigint} end), lambda x: x is not null and x.due0 <= tick)) as late
+      from (
+        select v.slot, v.done, v.dry, v.tick, a.*, list_filter(list_transform(range(c), lambda i: case when done[i + 1] < b[i + 1] then {'due': ceil((done[i + 1] + 1) * t / w[i + 1] - 1e-9)::bigint, 'g': i,
+          'due0': floor(done[i + 1] * t / w[i + 1] + 1e-9)::bigint} end), lambda x: x is not null) as jobs
+        from v, a where list_sum(done) < list_sum(b)))))
+,
+placed as (select slot, pick as g, row_number() over (partition by pick order by slot) - 1 as block from v where pick >= 0),
+finish as (select coalesce(min(dry), max(slot) + 1) as dry from v),
+ranked as (select doc_id, d.source as source, g, row_number() over (partition by g order by h % ((n + 1999) // 2000), h, doc_id) - 1 as i from d join s on s.source is not distinct from d.source),
+dealt as (select doc_id, source, g, i // 64 as block, i % 64 as r from ranked)
+select doc_id, source, block::bigint as block, slot, slot * 64 + r as position, slot < dry as in_target from dealt join placed using (g, block), finish""",
     "op6_warc_zip": """
 with p as (select page_id, url, coalesce(html, '') as h from pages),
 d as (select page_id, url, strlen(h) as n, sha256(h) as digest from p),

@@ -48,7 +48,11 @@ def test_mix_holds_its_target_until_a_source_runs_dry(docs, monkeypatch):
         done[slots[t]] += 1
         assert all(abs(done[s] - (t + 1) * q / h) < 1 for s, q in quanta.items())
     assert end > 20
-    assert M.laid_out(out).columns == table.columns and M.laid_out(out).count() == len(rows)
+    laid = M.laid_out(table, block=8, period=100)
+    assert laid.columns == table.columns
+    place = {(r.doc_id, r.text, r.source): r._position for r in got}
+    order = [place[r.doc_id, r.text, r.source] for r in laid.collect() if r.doc_id != 7]  # of which there are copies
+    assert len(order) == len(rows) - 3 and order == sorted(order)
 
 
 def test_weights_and_pool(docs):
@@ -68,14 +72,13 @@ def test_small_tables(docs):
     assert [(r._position, r._in_target) for r in one] == [(0, True)]
 
 
-def drift(weights, slots, blocks, end):
+def drift(weights, slots, end):
     """The largest distance of any source from its exact share, in blocks, before `end`."""
-    total, at, worst = sum(weights), 0, 0
-    for w, n in zip(weights, blocks, strict=True):
-        for j, t in enumerate(sorted(slots[at : at + n])):
+    total, worst = sum(weights), 0
+    for w, own in zip(weights, slots, strict=True):
+        for j, t in enumerate(own):
             if t < end:  # just before and just after the block
                 worst = max(worst, t * w / total - j, j + 1 - (t + 1) * w / total)
-        at += n
     return worst
 
 
@@ -84,15 +87,24 @@ def test_drift_from_the_exact_weights_does_not_grow(rows):
     sizes = [rows // 3] + [rows * 2 // 60] * 20
     weights, blocks = [n**0.5 for n in sizes], [-(-n // 64) for n in sizes]
     slots, end = M.scheduled(M.exact(weights), blocks)
-    assert len(set(slots.tolist())) == sum(blocks) and end > 0.5 * sum(blocks)
-    assert drift(weights, slots.tolist(), blocks, end) < 1 + 1e-6
+    assert [len(x) for x in slots] == blocks and sorted(t for x in slots for t in x) == list(range(sum(blocks))) and end > 0.5 * sum(blocks)
+    assert drift(weights, slots, end) < 1 + 1e-6
+
+
+def test_a_thousand_sources_and_a_rare_one():
+    """Each of 1,000 sources is less than a block off its own weight, and so is one with 1/3000 of the whole."""
+    weights = [1.0 + k % 7 for k in range(1000)]
+    slots, end = M.scheduled(M.exact(weights), [40 * (1 + k % 7) for k in range(1000)])
+    assert end > 100_000 and drift(weights, slots, end) < 1 + 1e-6
+    slots, end = M.scheduled(M.exact([1.0, 2999.0]), [20, 2999 * 20])
+    assert drift([1.0, 2999.0], slots, end) < 1 + 1e-6 and end == 60_000
 
 
 def test_slots_are_those_of_the_sql(spark):
     for quanta in ([5, 3, 2], [1, 1, 1, 97], [7, 11, 13, 17, 19]):
         slots, end = M.scheduled(quanta, quanta)
         want = schedule(spark, quanta)
-        assert [want[t] for t in slots] == [s for s, q in enumerate(quanta) for _ in range(q)] and end == sum(quanta)
+        assert all(want[t] == s for s, own in enumerate(slots) for t in own) and [len(x) for x in slots] == quanta and end == sum(quanta)
 
 
 def test_mix_takes_small_weights_exactly(docs):
@@ -118,3 +130,24 @@ def test_a_pool_weighs_what_its_members_do(docs):
     rows = [(k, "t", f"s{k % 10}") for k in range(1000)]
     got = M.mixed(docs(rows), sources=2, block=1).collect()
     assert Counter(r.source in ("s0", "s1") for r in got if r._slot < 100) == {True: 20, False: 80}
+
+
+def test_blocks_grow_so_that_the_schedule_stays_small(docs, monkeypatch):
+    monkeypatch.setattr(M, "MOST_BLOCKS", 20)
+    rows = [(k, "t", f"s{k % 3}") for k in range(2000)]
+    got = M.mixed(docs(rows), block=2).collect()
+    check(rows, got, 100)
+    assert len({r._slot for r in got}) <= 23
+
+
+def test_ties_and_clashing_names(spark):
+    """Rows that share an id come in the order of their texts' hashes, whatever the partitioning; own columns of the added names stay when laid out."""
+    rows = [(k % 5, f"text {k}", "s", 100 + k, {"a": k}) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _slot long, _block map<string,int>")
+    want = {r.text: r._position for r in M.mixed(df.coalesce(1)).collect()}
+    assert want == {r.text: r._position for r in M.mixed(df.repartition(7)).collect()}
+    assert "_slot" in M.mixed(df).columns and M.mixed(df).columns.count("_slot") == 1
+    laid = M.laid_out(df)
+    assert laid.columns == df.columns and sorted((r.text, r._slot) for r in laid.collect()) == sorted((r[1], r[3]) for r in rows)
+    # Partition after partition in the order of the mix.
+    assert [want[r.text] for r in laid.collect()] == sorted(want.values())

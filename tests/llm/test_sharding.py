@@ -54,3 +54,32 @@ def test_rows_that_no_bit_tells_apart(docs):
 def test_one_shard_and_none(docs):
     assert {r._shard for r in S.sharded(docs([(1, "a", "s"), (2, None, "s")])).collect()} == {""}
     assert S.sharded(docs([])).count() == 0
+
+
+def test_many_rows_of_one_id_in_many_partitions(docs):
+    rows = [(5, "z" * (100 + k % 3), "s") for k in range(400)] + [(5, "w" * 900, "s")] * 3 + [(6, "a", "s")]
+    got = S.sharded(docs(rows).repartition(9), limit=1000).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r._shard] += r._bytes
+    assert len(got) == 404 and max(sizes.values()) <= 1000 and len(sizes) < 60
+
+
+def test_a_kept_directory_deals_later_rows(spark, docs, tmp_path):
+    """Old rows keep their shards; a new row's shard is that of the old ones it shares a bucket with, or an empty bucket beside them."""
+    old = [(k, "x" * (k * 37 % 400), "s") for k in range(300)]
+    new = [(k, "y" * 10, "s") for k in range(300, 900)]
+    S.directory(docs(old), limit=2000).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    before = {r.doc_id: r._shard for r in S.sharded(docs(old), limit=2000).collect()}
+    after = S.sharded(docs(old + new), limit=2000, cells=cells).withColumn("h", S.hash_of(F.col("doc_id"), F.col("text"))).collect()
+    assert all(r._shard == before[r.doc_id] for r in after if r.doc_id in before)
+    names = set(before.values())
+    for r in after:
+        bits = f"{r.h:0{S.MOST_BITS}b}"
+        assert bits.startswith(r._shard)
+        fits = [n for n in names if bits.startswith(n)]
+        assert fits == [r._shard] if fits else r._shard not in names and any(n.startswith(r._shard[:-1]) for n in names)
+    assert len(after) == 900
+    none = S.directory(docs([]), limit=2000)
+    assert {r._shard for r in S.sharded(docs(old), limit=10**9, cells=none).collect()} == {""}
