@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset and all run on this machine.
+
+    On a cluster without one this raises, as executors can't read a folder of the driver's.
+    """
     context = spark.sparkContext._jsc.sc()
     at = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="surfmesh-checkpoint-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def removed_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written here, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors don't cost its lineage."""
     shared_dir(df.sparkSession)
