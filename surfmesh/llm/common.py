@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from surfmesh.plans.lineage import connected_components, cut, numbered, shared_dir
+from surfmesh.plans.lineage import connected_components, cut, numbered, removed_dir, shared_dir
 
-__all__ = ["arrow_schema", "at", "connected_components", "cut", "map_arrow", "md5_bits", "numbered", "packed", "shared_dir", "unpacked"]
+__all__ = ["arrow_schema", "at", "connected_components", "cut", "map_arrow", "md5_bits", "numbered", "packed", "removed_dir", "row_hash", "shared_dir", "unpacked"]
 
 #: Bytes of text that one Arrow batch of a Python stage holds at most (a single longer text makes a batch of its own).
 BATCH_BYTES = 16 << 20
@@ -23,8 +23,22 @@ def packed(docs: DataFrame, **picked: Column) -> DataFrame:
 
 
 def unpacked(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
-    """The columns of _doc, but for those that an operator puts in their place."""
-    return [F.col("_doc")[c].alias(c) for c in names if c not in without]
+    """The columns of _doc, but for those that an operator puts in their place (by Spark's rules, whatever their case)."""
+    gone = {c.lower() for c in without}
+    return [F.col("_doc")[c].alias(c) for c in names if c.lower() not in gone]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of docs; those that hold maps, which Spark doesn't hash, count as JSON."""
+
+    def hashed(t: DataType) -> bool:
+        if isinstance(t, (MapType, VariantType)):
+            return False
+        if isinstance(t, ArrayType):
+            return hashed(t.elementType)
+        return all(hashed(f.dataType) for f in t.fields) if isinstance(t, StructType) else True
+
+    return F.xxhash64(*(at(f.name) if hashed(f.dataType) else F.to_json(F.struct(at(f.name))) for f in docs.schema.fields))
 
 
 def at(name: str) -> Column:

@@ -21,13 +21,14 @@ SYMBOLS = "#*$%&|<>"
 class Bands:
     """Limits of compressed bytes / bytes by length: (least bytes, lowest ratio, highest ratio), by rising length.
 
-    A text shorter than the first length is only judged by the base rules. chunk_bytes cuts a text in chunks; a last piece shorter than
+    Every length has a band (of texts under 64 bytes the
+    format's own frame is a good part). chunk_bytes cuts a text in chunks; a last piece shorter than
     half a chunk joins the one before. The default limits leave a margin around the range of labelled good prose of each length; prose
     with symbol noise or repetition compresses better, encoded or random bytes worse. A text is rejected if its own ratio leaves the band of its length, or if more than
     chunk_share of its chunks leave theirs.
     """
 
-    limits: tuple[tuple[int, float, float], ...] = ((128, 0.45, 1.00), (512, 0.455, 0.75), (2048, 0.415, 0.62), (8192, 0.395, 0.58), (32768, 0.375, 0.55))
+    limits: tuple[tuple[int, float, float], ...] = ((1, 0.85, 1.60), (64, 0.65, 1.25), (128, 0.45, 1.00), (512, 0.455, 0.75), (2048, 0.415, 0.62), (8192, 0.395, 0.58), (32768, 0.375, 0.55))
     chunk_bytes: int = 4096
     chunk_share: float = 0.5
     level: int = 3

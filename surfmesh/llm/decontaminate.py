@@ -79,7 +79,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
     Null or wordless texts and items match nothing; of texts with fewer shingles than the item the whole text is the window. Items and
     documents with null ids match like others; an item of fewer than `words` words matches only texts that it is the whole of (in words),
-    never a passage of a longer one; rows equal in id and text come back once. Other columns are not read.
+    never a passage of a longer one; rows equal in id and text come back once. An empty table of documents or of items gives an empty table. Other
+    columns are not read.
     """
     items = benchmark.select(at(item_col).alias("_item"), shingles(at(item_text_col), words).alias("_b")).where(F.size("_b") > 0).distinct()
     items = items.withColumn("_n", F.size("_b")).withColumn("_ifp", simhash(F.col("_b")))
@@ -122,7 +123,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that match an item; all columns as they were. Options as for matches()."""
+    """docs without the rows that match an item; all columns as they were, whatever they are called. Options as for matches().
+
+    Rows with null ids, and null and wordless texts, match and stay as for matches(); repeated rows stay or go together; without items all rows stay.
+    """
     bad = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_bad_id"), F.col("_row").alias("_bad_row")).distinct()
     rows = packed(docs, _id=at(id_col), _hash=F.coalesce(F.xxhash64(at(text_col).cast("string")), F.lit(0)))
     return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_row")), "left_anti").select(*unpacked(docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmesh.llm.common import arrow_schema, at, connected_components, cut, map_arrow, packed, unpacked
+from surfmesh.llm.common import arrow_schema, at, connected_components, cut, map_arrow, packed, row_hash, unpacked
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt in blocks of about as many.
@@ -153,9 +153,10 @@ def components(prints: DataFrame, *, id_col: str = "doc_id", radius: int = 3) ->
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """docs without all but one row of each component, all columns as they were: that with the smallest id stays (null ids last).
 
-    Of rows that share that id, that with the smallest digest stays; of wholly equal ones, one.
+    Of rows that share that id, that with the smallest digest stays; of wholly equal ones, one. Null and wordless texts are one component; an
+    empty table gives an empty table.
     """
-    digest = packed(docs, _id=at(id_col).cast("long"), _row=F.xxhash64(*map(at, docs.columns)), _text=at(text_col))
+    digest = packed(docs, _id=at(id_col).cast("long"), _row=row_hash(docs), _text=at(text_col))
     prints = cut(fingerprints(digest, id_col="_id", text_col="_text", shingle=shingle, keep=("_row",)))
     ranked = components(prints, id_col="_id", radius=radius)
     order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"))
@@ -279,10 +280,10 @@ def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A pair is missed if it shares no band (at similarity 0.8 a chance of about 3e-5, less above) or lies beyond SIMILAR_RADIUS bits (about
     1e-6) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
-    wordless texts are copies of each other. What stays, and what becomes of repeated rows and columns, is as for keep_one(). Bands are
-    for a threshold of 0.8 or more.
+    wordless texts are copies of each other. What stays, and what becomes of repeated rows, empty tables and columns, is as for keep_one(). Bands
+    are for a threshold of 0.8 or more.
     """
-    digest = packed(docs, _id=at(id_col).cast("long"), _row=F.xxhash64(*map(at, docs.columns)), _text=at(text_col))
+    digest = packed(docs, _id=at(id_col).cast("long"), _row=row_hash(docs), _text=at(text_col))
     prints = cut(set_prints(digest, shingle))
     reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     keyed = reps.select("sd", F.posexplode("bands").alias("t", "k"))

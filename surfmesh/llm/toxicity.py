@@ -248,7 +248,8 @@ def learnt(v: Vocabulary, toxic: list[bool], *, share: float | None = None, step
     """As train(), from reduced texts. The gradient is summed up chunk by chunk, so that memory doesn't grow with it."""
     clean = v.documents([b for b, y in zip(v.bags, toxic, strict=True) if not y])
     seeds = seed_features(v.bags, toxic, clean, v)
-    prior = (sum(toxic) + 0.5) / (len(toxic) + 1)
+    prior = (sum(toxic) + 0.5) / (len(toxic) + 1) if toxic else 0.0
+    prior = max(prior, 1e-4)
     true = min(max(prior if share is None else share, 1e-4), 1 - 1e-4)
     if not seeds.any():
         return Model({}, -6.0, ((0.0, 0.0), (0.0, 0.0)), (math.log(true / (1 - true)), 0.0, 0.0, 0.0, 0.0))

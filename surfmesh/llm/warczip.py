@@ -28,6 +28,8 @@ from surfmesh.llm.common import arrow_schema, cut, map_arrow, shared_dir
 LEAST_REVISIT = 100
 #: Bytes after which the writer starts another package, and bytes that one range read spans at most (a longer record is read alone).
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Bytes that are read at once of an archive that no index lists.
+STEP_BYTES = 64 << 10
 #: Digests shared by several records are broadcast up to this count; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -89,7 +91,8 @@ def write_packages(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     """Writes a record per row below folder and returns the packages: (path, n_records, n_bytes), already written.
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes, those with the smallest id are responses and the others revisit it. Rows
-    without an id never are the smallest; where all ids of a payload are null, all are responses. A null payload is empty.
+    without an id never are the smallest; where all ids of a payload are null, all are responses. A null payload is empty. Rows equal in id and
+    payload are records of one kind, each by itself; an empty table writes no package; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("_payload"))
     rows = rows.withColumn("_digest", F.sha2("_payload", 256))
@@ -195,18 +198,48 @@ def ranges(read, members: list[Member]) -> Iterator[tuple[Member, int, int, int]
             yield m, data_at(read, m), -1, m.size
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """The records in a run of bytes, each packed by itself, or plain."""
-    while data:
-        if data[:2] != b"\x1f\x8b":
-            head, _, _ = data.partition(b"\r\n\r\n")
-            n = len(head) + 8 + int(re.search(rb"(?mi)^Content-Length:\s*(\d+)", head)[1])
-            yield data[:n]
-            data = data[n:].lstrip(b"\r\n")
+def unpacked(read, at: int, size: int) -> Iterator[bytes]:
+    """The records of the bytes from `at` on, each packed by itself, or plain; they are read STEP_BYTES at a time, so that no more than a record and
+    a step is held."""
+    data, end = bytearray(), at + size
+
+    def more() -> bool:
+        nonlocal at
+        if at >= end:
+            return False
+        data.extend(read(at, min(STEP_BYTES, end - at)))
+        at = min(end, at + STEP_BYTES)
+        return True
+
+    while True:
+        while len(data) < 2 and more():
+            pass
+        if len(data) < 2:
+            return
+        if data[:2] == b"\x1f\x8b":
+            unpack, out = zlib.decompressobj(31), []
+            while not unpack.eof:
+                if not data and not more():
+                    raise ValueError("a packed record without an end")
+                out.append(unpack.decompress(bytes(data)))
+                data[:] = unpack.unused_data
+            yield b"".join(out)
             continue
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+        while (k := data.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if not bytes(data).strip():
+                    return
+                raise ValueError("a record without an end of its head")
+        n = k + 8 + int(re.search(rb"(?mi)^Content-Length:\s*(\d+)", bytes(data[:k]))[1])
+        while len(data) < n and more():
+            pass
+        yield bytes(data[:n])
+        del data[:n]
+        while data[:1] in (b"\r", b"\n") or not data:
+            if data:
+                del data[:1]
+            elif not more():
+                return
 
 
 def parsed(raw: bytes) -> dict:
@@ -236,11 +269,18 @@ def records(path: str) -> Iterator[dict]:
             lo = run[0][0]
             data = read(lo, run[-1][0] + run[-1][1] - lo)
             for pos, n in run:
-                for raw in unpacked(data[pos - lo : pos - lo + n]):
+                own = memoryview(data)[pos - lo : pos - lo + n]
+                for raw in unpacked(lambda at, size: own[at : at + size], 0, n):  # noqa: B023
                     yield parsed(raw)
 
         for _, start, offset, n in ranges(read, directory(read, file.size())):
-            pos = start + max(offset, 0)
+            if offset < 0:  # nothing says where its records are
+                if run:
+                    yield from fetched()
+                    run = []
+                yield from map(parsed, unpacked(read, start, n))
+                continue
+            pos = start + offset
             if run and (pos != run[-1][0] + run[-1][1] or pos + n - run[0][0] > RANGE_BYTES):
                 yield from fetched()
                 run = []
@@ -253,7 +293,10 @@ OUT = "page_id long, url string, payload_bytes long, payload_digest string, reco
 
 
 def read_packages(packages: DataFrame, *, payload: bool = True) -> DataFrame:
-    """Every record of the packages of a table with a column path; columns as in OUT, the payload null for revisits or on request."""
+    """Every record of the packages of a table with a column path; columns as in OUT, the payload null for revisits or on request.
+
+    A null url and a null id come back as null, repeated rows as often as they were written; an empty table of packages gives an empty one.
+    """
     schema = arrow_schema(OUT)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

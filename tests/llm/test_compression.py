@@ -49,6 +49,48 @@ def test_bands_reject_repetition_noise_and_keep_prose(docs):
     assert not got[2].kept and not got[3].kept
 
 
+def verdict(text, bands):
+    """kept by the statement of the method: base rules, the whole text's ratio within its band, and not more than the share of chunks out of theirs."""
+    raw = (text or "").encode()
+    if plain(text)[5]:
+        return False
+
+    def inside(piece):
+        ratio = len(zstandard.ZstdCompressor(level=bands.level).compress(piece)) / len(piece)
+        low, high = [(low, high) for least, low, high in bands.limits if least <= len(piece)][-1]
+        return low <= ratio <= high
+
+    n, size = len(raw), bands.chunk_bytes
+    starts = [k * size for k in range(max(1, (n + size // 2) // size))]
+    chunks = [raw[lo:hi] for lo, hi in zip(starts, [*starts[1:], n], strict=True)]
+    bad = sum(not inside(c) for c in chunks) if len(chunks) > 1 else 0
+    return inside(raw) and bad <= bands.chunk_share * (len(chunks) if len(chunks) > 1 else 0)
+
+
+def test_verdicts_match_brute_force(spark, docs):
+    """Over a whole table, and over texts that sit on the limits of lengths and chunks."""
+    import random
+
+    rng = random.Random(23)
+    prose = lambda n: " ".join("".join(rng.choices("th er on an re he in ed nd ha at en".split(), k=rng.randint(1, 4))) for _ in range(n))
+    texts = [*TEXTS, *(prose(n) for n in (9, 10, 11, 20, 50, 300, 900, 3000))]
+    texts += [prose(3000).encode()[:n].decode() for n in (63, 64, 127, 128, 511, 512, 2047, 2048, 4096, 6143, 6144, 6145, 8191, 8192, 10_240)]
+    texts += [prose(700) + "".join(chr(rng.randrange(0x4E00, 0x9FFF)) + " " * (k % 9 == 0) for k in range(k)) for k in (500, 1500, 4000)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in C.quality(docs([(i, t, "s") for i, t in rows])).collect()}
+    assert all(got[i].kept == verdict(t, C.Bands()) for i, t in rows)
+    assert 8 <= sum(r.kept for r in got.values()) < len(rows) - 5
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r.doc_id: r for r in C.quality(table).collect()}
+    for r in table.collect():
+        assert found[r.doc_id].kept == verdict(r.text, C.Bands())
+
+
+def test_every_length_has_a_band():
+    bands = C.Bands()
+    assert bands.limits[0][0] == 1 and not bands.within(100, 0.2) and bands.within(100, 0.9) and not bands.within(40, 0.3)
+
+
 def test_chunks_cover_the_whole_text():
     packer = zstandard.ZstdCompressor(level=3)
     for n in (1, 4096, 6143, 6144, 8192, 50_001):

@@ -102,6 +102,58 @@ def test_scores_tell_held_out_texts_apart(docs, model):
             assert found and all("zonkhead" in f or "vilely" in f for f in found)
 
 
+def by_hand(text, model):
+    """The score and the tagged spans by plain loops over the words, in log space."""
+    found = [(w.start(), w.end(), model.emission(w.group())) for w in T._WORD.finditer(T.lowered(text))]
+    if not found:
+        sums = [1, 0, 0, 0, 0]
+    else:
+        lse = lambda a, b: max(a, b) + np.log1p(np.exp(-abs(a - b)))
+        t, n = model.trans, len(found)
+        ahead, back = [(0.0, 0.0)], [(0.0, 0.0)]
+        for *_, e in found[:-1]:
+            a, b = ahead[-1]
+            ahead.append((lse(a + t[0][0], b + e + t[1][0]), lse(a + t[0][1], b + e + t[1][1])))
+        for *_, e in found[:0:-1]:
+            a, b = back[-1]
+            back.append((lse(t[0][0] + a, t[0][1] + e + b), lse(t[1][0] + a, t[1][1] + e + b)))
+        back.reverse()
+        p = [1 / (1 + np.exp(np.clip(-(ahead[k][1] - ahead[k][0] + found[k][2] + back[k][1] - back[k][0]), -700, 700))) for k in range(n)]
+        total, top = sum(max(x - T._DOUBT, 0) for x in p), sorted(p)[::-1]
+        sums = [1, np.log1p(total), np.sqrt(total / n), top[0], top[1] if n > 1 else 0]
+        spans, last = [], None
+        for k, x in enumerate(p):
+            if x >= 0.5:
+                if last == k - 1:
+                    spans[-1] = (spans[-1][0], found[k][1])
+                else:
+                    spans.append((found[k][0], found[k][1]))
+                last = k
+        return 1 / (1 + np.exp(-np.dot(sums, model.doc))), spans
+    return 1 / (1 + np.exp(-np.dot(sums, model.doc))), []
+
+
+def test_the_query_matches_plain_loops(spark):
+    """op1 over a whole table: every score and span by hand from the same model, which is learnt outside the held-out fold alone."""
+    import zlib
+
+    from surfmesh.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    seen = labels.where(F.col("doc_id").isin([r.doc_id for r in labels.collect() if not held(r.doc_id)]))
+    model = T.fit(docs, seen)
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score, spans = by_hand(r.text or "", model)
+        assert got[r.doc_id].held_out == held(r.doc_id)
+        assert abs(got[r.doc_id].score - score) < 1e-8 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        assert [(s.start, s.end) for s in got[r.doc_id].spans] == spans
+
+
 def test_odd_rows(docs, model):
     rows = [(1, None, "s"), (2, "", "s"), (None, "zonkhead " * 9, None), (3, "İI zonkhead zonkhead zonkhead", "s"), (3, "İI zonkhead zonkhead zonkhead", "s"), (4, "clean " * 40_000, "s")]
     got = T.score(docs(rows), model).collect()

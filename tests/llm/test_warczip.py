@@ -57,6 +57,32 @@ def test_zip64_directory_and_archive_without_an_index(tmp_path):
     assert [r["payload"] for r in W.records(str(tmp_path / "p.zip"))] == [b"abc", b"abc"]
 
 
+def test_an_archive_without_an_index_is_streamed(monkeypatch, tmp_path):
+    """Packed and plain records in turn, in steps that end anywhere; no read is larger than a step, but for a record's own length."""
+    import zlib
+
+    payloads = [bytes([65 + k % 26]) * (k * 97 % 5000) for k in range(60)]
+    raw = b""
+    for k, p in enumerate(payloads):
+        one = W.record(k, "http://x", p, hashlib.sha256(p).hexdigest(), None, "2000-01-01T00:00:00Z")
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        raw += pack.compress(one) + pack.flush() if k % 3 else one
+    data = _zip64([(b"archive/all.warc", raw)])
+    (tmp_path / "p.zip").write_bytes(data)
+    for step in (1, 7, 100, 4096, 1 << 20):
+        monkeypatch.setattr(W, "STEP_BYTES", step)
+        assert [(r["page_id"], r["payload"]) for r in W.records(str(tmp_path / "p.zip"))] == list(enumerate(payloads))
+    reads = []
+    list(W.unpacked(lambda at, n: reads.append(n) or raw[at : at + n], 0, len(raw)))
+    monkeypatch.setattr(W, "STEP_BYTES", 512)
+    reads.clear()
+    list(W.unpacked(lambda at, n: reads.append(n) or raw[at : at + n], 0, len(raw)))
+    assert max(reads) == 512
+    for broken in (raw[:-3000], raw + b"WARC/1.1"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(map(W.parsed, W.unpacked(lambda at, n: broken[at : at + n], 0, len(broken))))
+
+
 def test_what_is_no_readable_package():
     read = lambda data: W.directory(lambda at, n: data[at : at + n], len(data))
     for data in (b"", b"PK", b"x" * 100_000):
