@@ -18,7 +18,8 @@ from surfmesh.operators.topology import keep_top_surfaces, surfaces_by_connectiv
 from surfmesh.plans.lineage import connected_components, cut, numbered
 from surfmesh.types import BuildParams
 
-#: The height step that seeds and edges may have at least, and the height gap between layers where max_dz is 0.
+#: The height that seeds and open edges look up and down at least (triangles themselves keep to max_dz), and the height gap between layers where
+#: max_dz is 0.
 LEAST_DZ, LAYER_GAP = 0.35, 0.30
 
 
@@ -34,14 +35,15 @@ def voxel_top(points: DataFrame, resolution: float, gap: float) -> DataFrame:
 
 
 def triangle_filters(triangles: DataFrame, params: BuildParams) -> DataFrame:
-    """Triangles (ax..cz) with the tests of the mesher: edges_ok, dz_ok, area_ok, slope_ok, angle_ok, and accepted."""
+    """Triangles (ax..cz) with the tests of the mesher: edges_ok, dz_ok, area_ok, slope_ok, angle_ok, and accepted. max_edge_len and max_dz of 0 and
+    less switch their tests off."""
     a, b, c = map(geom.point, "abc")
     most = F.greatest(geom.dist3(a, b), geom.dist3(b, c), geom.dist3(a, c))
     dz = F.greatest(*(F.abs(p[2] - q[2]) for p, q in ((a, b), (b, c), (a, c))))
     up = geom.triangle_normal(a, b, c)[2]
     tests = {
-        "edges_ok": most <= params.max_edge_len,
-        "dz_ok": dz <= max(params.max_dz, LEAST_DZ),
+        "edges_ok": most <= params.max_edge_len if params.max_edge_len > 0 else F.lit(True),
+        "dz_ok": dz <= params.max_dz if params.max_dz > 0 else F.lit(True),
         "area_ok": geom.triangle_area(a, b, c) >= max(params.min_area, 1e-9),
         "slope_ok": up >= math.cos(math.radians(params.max_slope_deg)),
         "angle_ok": F.least(*geom.triangle_angles_deg(a, b, c)) >= params.min_angle_deg,
@@ -71,7 +73,8 @@ class _Mesher:
             return False
         pa, pb, pc = self.p[a], self.p[b], self.p[c]
         sides = math.dist(pb, pc), math.dist(pa, pc), math.dist(pa, pb)
-        if max(sides) > self.params.max_edge_len or max(pa[2], pb[2], pc[2]) - min(pa[2], pb[2], pc[2]) > self.dz:
+        most, rise = self.params.max_edge_len, self.params.max_dz
+        if most > 0 and max(sides) > most or rise > 0 and max(pa[2], pb[2], pc[2]) - min(pa[2], pb[2], pc[2]) > rise:
             return False
         u, v = [y - x for x, y in zip(pa, pb, strict=True)], [y - x for x, y in zip(pa, pc, strict=True)]
         n = u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
@@ -84,7 +87,7 @@ class _Mesher:
             if math.degrees(math.acos(max(-1.0, min(1.0, (y * y + z * z - x * x) / (2 * y * z))))) < self.params.min_angle_deg:
                 return False
         self.known.add(key)
-        self.out.append((a, b, c))
+        self.out.append((a, b, c) if n[2] >= 0 else (a, c, b))
         for e in ((a, b), (b, c), (c, a)):
             e = min(e), max(e)
             self.uses[e] = self.uses.get(e, 0) + 1
@@ -94,27 +97,37 @@ class _Mesher:
         radius = self.params.neighbor_radius
         return radius <= 0 or self.reach(a, b) <= radius
 
+    def push(self, front: deque[tuple[int, int]], queued: set[tuple[int, int]], a: int, b: int) -> None:
+        """Queues an edge, from its lower point, if it is open and not queued yet."""
+        e = min(a, b), max(a, b)
+        if self.uses[e] == 1 and e not in queued:
+            queued.add(e)
+            front.append(e)
+
     def run(self) -> list[tuple[int, int, int]]:
         used: set[int] = set()
         for seed in self.ids:
             if seed in used:
                 continue
-            z = self.p[seed][2]
-            around = [v for v in self.near.get(seed, ()) if math.dist(self.p[seed], self.p[v]) <= self.params.max_edge_len and abs(self.p[v][2] - z) <= self.dz]
+            used.add(seed)
+            z, most = self.p[seed][2], self.params.max_edge_len
+            around = [v for v in self.near.get(seed, ()) if (most <= 0 or math.dist(self.p[seed], self.p[v]) <= most) and abs(self.p[v][2] - z) <= self.dz]
             if len(around) < 2:
-                used.add(seed)
                 continue
             x, y = self.p[seed][:2]
             around.sort(key=lambda v: (math.atan2(self.p[v][1] - y, self.p[v][0] - x), v))
             pairs = list(zip(around, around[1:], strict=False)) + ([(around[-1], around[0])] if len(around) >= 3 else [])
             front: deque[tuple[int, int]] = deque()
+            queued: set[tuple[int, int]] = set()
             for v, w in pairs:
                 if self.close(seed, v) and self.close(seed, w) and self.accept(seed, v, w):
-                    used |= {seed, v, w}
-                    front.extend(((seed, v), (v, w), (w, seed)))
+                    used |= {v, w}
+                    for e in ((seed, v), (v, w), (w, seed)):
+                        self.push(front, queued, *e)
             while front:
                 a, b = front.popleft()
-                if self.uses.get((min(a, b), max(a, b)), 0) != 1:
+                queued.discard((a, b))
+                if self.uses[a, b] != 1:
                     continue
                 middle = (self.p[a][2] + self.p[b][2]) / 2
                 for c in self.near.get(a, ()):
@@ -122,17 +135,19 @@ class _Mesher:
                         continue
                     if self.accept(a, b, c):
                         used |= {a, b, c}
-                        front.extend(((a, c), (c, b)))
-            used.add(seed)
+                        self.push(front, queued, a, c)
+                        self.push(front, queued, c, b)
         return self.out
 
 
 def from_points(points: DataFrame, params: BuildParams = BuildParams(), frame_id: str = "map") -> MeshMap:
     """A mesh over points (x, y, z): layered voxels, greedy triangles, surfaces by connectivity (the max_surfaces largest), F32 `elevation`.
 
-    Points are numbered by voxel and layer; neighbours are those within neighbor_radius, or the max(8, k_neighbors) nearest if that is 0.
-    Greedy growth only looks at neighbours, so groups of points that neighbour links don't connect are grown apart, one task each. Fewer than
-    three points, before or after voxels, or no triangle, give an empty map.
+    Points are numbered by voxel and layer; neighbours are those within neighbor_radius, or, if that is 0, the points that are with
+    it the max(8, k_neighbors) nearest. Greedy growth depends on what was grown before, so it can't be split without other results; but it
+    only looks at neighbours, so groups of points that neighbour links don't connect are grown apart, one task each. A group's voxels,
+    with their neighbours, must fit one task: some 200 bytes a neighbour. Fewer than three points, before or after voxels, or no
+    triangle, give an empty map.
     """
     spark = points.sparkSession
     if points.limit(3).count() < 3:
@@ -144,7 +159,7 @@ def from_points(points: DataFrame, params: BuildParams = BuildParams(), frame_id
     cloud = numbered(cloud, "pid", "vx", "vy", "k", "x", "y", "z").select("pid", "x", "y", "z")
     if cloud.limit(3).count() < 3:
         return MeshMap.empty(spark)
-    near = radius_neighbors(cloud, params.neighbor_radius) if params.neighbor_radius > 0 else knn(cloud, max(8, params.k_neighbors))
+    near = radius_neighbors(cloud, params.neighbor_radius) if params.neighbor_radius > 0 else knn(cloud, max(8, params.k_neighbors) - 1)
     near = cut(near.select("pid", "nid", "dist"))
     roots = connected_components(near.select(F.col("pid").alias("a"), F.col("nid").alias("b")))
     listed = near.groupBy("pid").agg(F.transform(F.sort_array(F.collect_list(F.struct("dist", "nid"))), lambda s: s["nid"]).alias("near"))
@@ -176,3 +191,8 @@ def decode_xyz(clouds: DataFrame) -> DataFrame:
                 yield pd.DataFrame({k: np.ascontiguousarray(raw[:, at : at + 4]).view("<f4").reshape(-1) for k, at in zip("xyz", (row.x_at, row.y_at, row.z_at), strict=True)})
 
     return clouds.mapInPandas(stage, "x float, y float, z float")
+
+
+def from_pointcloud2(clouds: DataFrame, params: BuildParams = BuildParams(), frame_id: str = "map") -> MeshMap:
+    """The mesh of the points of point-cloud messages, decoded as by decode_xyz()."""
+    return from_points(decode_xyz(clouds), params, frame_id)

@@ -173,7 +173,7 @@ SQL: dict[str, str] = {
     "boundary_edges": f"with {T}, {_EDGES} select cid, e::bigint as e from adj where neighbor is null",
     "neighbors_list": f"with {T}, {_EDGES} select cid, coalesce(string_agg(neighbor::varchar, ',' order by e) filter (neighbor is not null), '') as neighbors from adj group by cid",
     "triangle_angles": f"with {T}, {_LENGTHS} select cid, {_six(angle_a='angle_a', angle_b='angle_b', angle_c='angle_c')} from angle",
-    "triangle_filters": f"""with {T}, {_LENGTHS}, test as (select cid, greatest(la, lb, lc) <= 1.5 as edges_ok, greatest(abs(az - bz), abs(bz - cz), abs(az - cz)) <= 0.35 as dz_ok,
+    "triangle_filters": f"""with {T}, {_LENGTHS}, test as (select cid, greatest(la, lb, lc) <= 1.5 as edges_ok, greatest(abs(az - bz), abs(bz - cz), abs(az - cz)) <= 0.3 as dz_ok,
   sqrt(nx * nx + ny * ny + nz * nz) / 2 >= 1e-6 as area_ok, nz / sqrt(nx * nx + ny * ny + nz * nz) >= cos(radians(30)) as slope_ok, least(angle_a, angle_b, angle_c) >= 40 as angle_ok from angle)
 select cid, edges_ok::int::bigint as edges_ok, dz_ok::int::bigint as dz_ok, area_ok::int::bigint as area_ok, slope_ok::int::bigint as slope_ok, angle_ok::int::bigint as angle_ok,
   (edges_ok and dz_ok and area_ok and slope_ok and angle_ok)::int::bigint as accepted from test""",
