@@ -114,33 +114,23 @@ def point_in_triangle(p: Point, a: Point, b: Point, c: Point, eps: float) -> Col
     return F.coalesce(reduce(Column.__and__, (x >= -eps for x in barycentric(p, a, b, c))), F.lit(False))
 
 
+def _on_side(p: Point, start: Point, end: Point) -> Point:
+    """The point of a side that is nearest to p; its start where the side has no length."""
+    along = sub(end, start)
+    size = dot(along, along)
+    return add(start, scale(along, clamp01(F.coalesce(ratio(dot(sub(p, start), along), size, size > 0), F.lit(0.0)))))
+
+
 def closest_point_on_triangle(p: Point, a: Point, b: Point, c: Point) -> Point:
-    """The point of a triangle that is nearest to p: by the region of p (corner a, b, edge ab, corner c, edge ac, edge bc, inside)."""
-    ab, ac, ap, bp, cp = sub(b, a), sub(c, a), sub(p, a), sub(p, b), sub(p, c)
-    d1, d2, d3, d4, d5, d6 = dot(ab, ap), dot(ac, ap), dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
-    total = va + vb + vc
-    flat = F.abs(total) < CLOSEST_EPS
-    on = lambda start, along, n, d: add(start, scale(along, F.coalesce(ratio(n, d, d != 0), F.lit(0.0))))
-    on_ab, on_ac = on(a, ab, d1, d1 - d3), on(a, ac, d2, d2 - d6)
-    on_bc = on(b, sub(c, b), d4 - d3, (d4 - d3) + (d5 - d6))
-    inside = add(a, add(scale(ab, F.coalesce(ratio(vb, total, ~flat), F.lit(0.0))), scale(ac, F.coalesce(ratio(vc, total, ~flat), F.lit(0.0)))))
-    sa, sb, sc = dot(ap, ap), dot(bp, bp), dot(cp, cp)
-
-    def pick(k: int) -> Column:
-        nearest = F.when((sa <= sb) & (sa <= sc), a[k]).when(sb <= sc, b[k]).otherwise(c[k])
-        return (
-            F.when((d1 <= 0) & (d2 <= 0), a[k])
-            .when((d3 >= 0) & (d4 <= d3), b[k])
-            .when((vc <= 0) & (d1 >= 0) & (d3 <= 0) & (d1 != d3), on_ab[k])
-            .when((d6 >= 0) & (d5 <= d6), c[k])
-            .when((vb <= 0) & (d2 >= 0) & (d6 <= 0) & (d2 != d6), on_ac[k])
-            .when((va <= 0) & (d4 >= d3) & (d5 >= d6) & ((d4 - d3) + (d5 - d6) != 0), on_bc[k])
-            .when(flat, nearest)
-            .otherwise(inside[k])
-        )
-
-    return pick(0), pick(1), pick(2)
+    """The point of a triangle that is nearest to p: the foot of the perpendicular if that lies inside, else the nearest point of the sides, of equally
+    near ones that of the earlier side (ab, bc, ca). Fields of one struct that is worked out once."""
+    n = cross(sub(b, a), sub(c, a))
+    size = dot(n, n)
+    inside = reduce(Column.__and__, (dot(cross(sub(e, s), sub(p, s)), n) >= 0 for s, e in ((a, b), (b, c), (c, a)))) & (size > CLOSEST_EPS)
+    foot = sub(p, scale(n, F.coalesce(ratio(dot(sub(p, a), n), size, size > CLOSEST_EPS), F.lit(0.0))))
+    on = lambda k, q: F.struct(squared_distance(p, q).alias("d"), F.lit(k).alias("k"), *(v.alias(x) for v, x in zip(q, "xyz", strict=True)))
+    best = F.when(inside, on(0, foot)).otherwise(F.array_min(F.array(*(on(k, _on_side(p, s, e)) for k, (s, e) in enumerate(((a, b), (b, c), (c, a)))))))
+    return tuple(best[k] for k in "xyz")
 
 
 def squared_distance(p: Point, q: Point) -> Column:

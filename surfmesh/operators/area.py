@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surfmesh.functions import geom
 from surfmesh.operators.layers import has_layer, layer_set, layer_type
 from surfmesh.operators.mesh import MeshMap
-from surfmesh.operators.spatial import locate
+from surfmesh.operators.spatial import BROADCAST_ROWS, locate
 from surfmesh.plans.lineage import connected_components, cut
 from surfmesh.types import AreaShape, LayerType
 
@@ -42,9 +42,10 @@ def area_cells(mesh: MeshMap, p: tuple[float, float, float], shape: AreaShape, s
     meets = (low("x") <= cx + half) & (high("x") >= cx - half) & (low("y") <= cy + half) & (high("y") >= cy - half)
     near = cut(mesh.geometry().where(meets | (F.col("cid") == seed)))
     ids = near.select("cid")
-    # Neighbours as the whole mesh has them, looked up for the edges of the triangles at hand.
-    links = mesh.adjacency().where("neighbor is not null").select(F.col("cid").alias("a"), F.col("neighbor").alias("b"))
-    links = cut(links.join(ids.withColumnRenamed("cid", "a"), "a", "left_semi").join(ids.withColumnRenamed("cid", "b"), "b", "left_semi").select("a", "b").distinct())
+    # Neighbours as the whole mesh has them, looked up for the edges of the triangles at hand: a few are sent to where the edges are.
+    at_hand = F.broadcast(ids) if near.count() <= BROADCAST_ROWS else ids
+    links = mesh.adjacency(of=at_hand).where("neighbor is not null").select(F.col("cid").alias("a"), F.col("neighbor").alias("b"))
+    links = cut(links.join(at_hand.withColumnRenamed("cid", "b"), "b", "left_semi").select("a", "b").distinct())
     reached = _reached(links, seed).unionByName(mesh.spark.createDataFrame([(seed,)], "cid long")).distinct()
     mx, my, _ = geom.centroid(*map(geom.point, "abc"))
     dx, dy = mx - cx, my - cy

@@ -121,8 +121,8 @@ class MeshMap:
         each = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for e, (a, b) in enumerate(ends)))).alias("s")
         return self.navcels.select("cid", each).select("cid", "s.e", "s.lo", "s.hi")
 
-    def adjacency(self) -> DataFrame:
-        """(cid, e, neighbor): who lies across each edge, null at a boundary.
+    def adjacency(self, of: DataFrame | None = None) -> DataFrame:
+        """(cid, e, neighbor): who lies across each edge, null at a boundary; of: only for these triangles (cid), which are looked up by their edges.
 
         Of an edge's owners in order, the first one's neighbour is the last one, and every later one's is the first. An owner twice over isn't
         its own neighbour.
@@ -130,9 +130,14 @@ class MeshMap:
         by = Window.partitionBy("lo", "hi")
         order = by.orderBy("cid", "e")
         whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        owned = self.edges().select("cid", "e", F.row_number().over(order).alias("k"), F.first("cid").over(whole).alias("first"), F.last("cid").over(whole).alias("last"), F.count("*").over(by).alias("n"))
+        edges = self.edges()
+        if of is not None:
+            ends = edges.join(of, "cid", "left_semi").select("lo", "hi").distinct()
+            edges = edges.join(ends, ["lo", "hi"], "left_semi")
+        owned = edges.select("cid", "e", F.row_number().over(order).alias("k"), F.first("cid").over(whole).alias("first"), F.last("cid").over(whole).alias("last"), F.count("*").over(by).alias("n"))
         across = F.when(F.col("k") > 1, F.col("first")).when(F.col("n") > 1, F.col("last"))
-        return owned.select("cid", "e", F.when(across != F.col("cid"), across).alias("neighbor"))
+        found = owned.select("cid", "e", F.when(across != F.col("cid"), across).alias("neighbor"))
+        return found if of is None else found.join(of, "cid", "left_semi")
 
     def neighbors(self) -> DataFrame:
         """(cid, neighbors): the triangles across the edges of each, in edge order, boundaries left out."""

@@ -175,12 +175,12 @@ def locate(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *,
     if "hint_cid" in points.columns:
         owner = mesh.surface_navcels.groupBy("cid").agg(F.min("surface_idx").alias("_s"))
         plane = mesh.geometry().join(owner, "cid").withColumnRenamed("cid", "hint_cid")
-        n = geom.triangle_normal(A, B, C)
-        dist = geom.dot(geom.sub(at, A), n)
-        foot = geom.sub(at, geom.scale(n, dist))
-        fits = geom.point_in_triangle(foot, A, B, C, opts.planar_eps) & (F.abs(dist) <= opts.height_eps)
-        hinted = out.where("hint_cid is not null").join(plane, "hint_cid").where(fits)
-        hinted = hinted.select("pid", F.struct(F.col("_s").alias("s"), F.col("hint_cid").alias("c"), *(v.alias(k) for v, k in zip(foot, "xyz", strict=True))).alias("h"))
+        plane = plane.withColumns({f"_n{k}": v for k, v in zip("xyz", geom.triangle_normal(A, B, C), strict=True)})
+        hinted = out.where("hint_cid is not null").join(plane, "hint_cid").withColumn("_off", geom.dot(geom.sub(at, A), geom.point("_n")))
+        hinted = hinted.where(F.abs("_off") <= opts.height_eps)
+        hinted = _barycentric(hinted.withColumns({f"_f{k}": v - F.col(f"_n{k}") * F.col("_off") for k, v in zip("xyz", at, strict=True)}), geom.point("_f"))
+        hinted = hinted.where(" and ".join(f"_b{k} >= -{opts.planar_eps!r}" for k in range(3)))
+        hinted = hinted.select("pid", F.struct(F.col("_s").alias("s"), F.col("hint_cid").alias("c"), *(F.col(f"_f{k}").alias(k) for k in "xyz")).alias("h"))
         out = out.join(hinted, "pid", "left")
         names = [F.coalesce(F.col(f"h.{k}"), v) for k, v in zip("xyz", names, strict=True)]
         surface, cid = F.coalesce("h.s", "m.surface"), F.coalesce("h.c", "m.cid")
@@ -188,9 +188,19 @@ def locate(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *,
         surface, cid = F.col("m.surface"), F.col("m.cid")
     out = out.select("pid", "px", "py", "pz", cid.isNotNull().alias("found"), surface.alias("surface"), cid.alias("cid"), *(F.when(cid.isNotNull(), v).alias(f"h{k}") for v, k in zip(names, "xyz", strict=True)))
     own = mesh.geometry().select("cid", *(q + k for q in "abc" for k in "xyz"))
-    bary = geom.barycentric(geom.point("h"), A, B, C)
-    default = (1.0, 0.0, 0.0)
-    return out.join(own, "cid", "left").select("pid", "px", "py", "pz", "found", "surface", "cid", "hx", "hy", "hz", *(F.when(F.col("found"), F.coalesce(v, F.lit(w))).alias(f"b{k}") for k, (v, w) in enumerate(zip(bary, default, strict=True))))
+    out = _barycentric(out.join(own, "cid", "left"), geom.point("h"))
+    return out.select("pid", "px", "py", "pz", "found", "surface", "cid", "hx", "hy", "hz", *(F.when(F.col("found"), F.coalesce(F.col(f"_b{k}"), F.lit(w))).alias(f"b{k}") for k, w in enumerate((1.0, 0.0, 0.0))))
+
+
+def _barycentric(df: DataFrame, p: geom.Point) -> DataFrame:
+    """df (triangles ax..cz) with the barycentric coordinates _b0.._b2 of p: geom.barycentric() step by step, so that no value is worked out twice."""
+    a, b, c = corners()
+    e0, e1, e2 = geom.sub(b, a), geom.sub(c, a), geom.sub(p, a)
+    df = df.withColumns({"_d00": geom.dot(e0, e0), "_d01": geom.dot(e0, e1), "_d11": geom.dot(e1, e1), "_d20": geom.dot(e2, e0), "_d21": geom.dot(e2, e1)})
+    d00, d01, d11, d20, d21 = map(F.col, ("_d00", "_d01", "_d11", "_d20", "_d21"))
+    df = df.withColumn("_d", d00 * d11 - d01 * d01).withColumn("_d", F.when(F.abs("_d") >= geom.BARY_EPS, F.col("_d")))
+    df = df.withColumns({"_b1": (d11 * d20 - d01 * d21) / F.col("_d"), "_b2": (d00 * d21 - d01 * d20) / F.col("_d")})
+    return df.withColumn("_b0", 1.0 - F.col("_b1") - F.col("_b2"))
 
 
 def locate_by_walking(mesh: MeshMap, points: DataFrame, opts: LocateOpts = LocateOpts(), *, steps: int = 16) -> DataFrame:
@@ -204,13 +214,13 @@ def locate_by_walking(mesh: MeshMap, points: DataFrame, opts: LocateOpts = Locat
     at = tuple(F.col(f"p{k}") for k in "xyz")
     done = None
     for _ in range(steps):
-        b = geom.barycentric(at, A, B, C)
+        b = [F.col(f"_b{k}") for k in range(3)]
         arrived = F.coalesce((b[0] >= -opts.planar_eps) & (b[1] >= -opts.planar_eps) & (b[2] >= -opts.planar_eps), F.lit(False))
         # The edge across from the corner of the least coordinate: 1 across from a, 2 from b, 0 from c.
         least = F.least(*b)
         onward = F.when(b[0].isNull(), None).when(b[0] == least, F.col("n1")).when(b[1] == least, F.col("n2")).otherwise(F.col("n0"))
         off = F.abs(geom.dot(geom.sub(at, A), geom.triangle_normal(A, B, C))) <= opts.height_eps
-        here = cut(p.join(tri, "cid").select("pid", "px", "py", "pz", "cid", (arrived & off).alias("found"), onward.alias("next")))
+        here = cut(_barycentric(p.join(tri, "cid"), at).select("pid", "px", "py", "pz", "cid", (arrived & off).alias("found"), onward.alias("next")))
         home = here.where("found").select("pid", "cid")
         done = home if done is None else done.unionByName(home)
         p = here.where("not found and next is not null").select("pid", "px", "py", "pz", F.col("next").alias("cid"))
@@ -231,13 +241,17 @@ def closest(mesh: MeshMap, points: DataFrame, *, restrict_surface: int = -1, siz
     more; of equally near ones that of the lowest surface, then triangle.
 
     Points look in the mesh's cell that is nearest to them, then in ever wider squares around it, until they have found a triangle at all; it
-    bounds the distance. Those for which that bound reaches beyond their cell look once more, in all cells that it touches.
+    bounds the distance. Those for which that bound reaches beyond their cell look once more, in all cells that it touches; there only
+    triangles whose box is within the bound, in height too, are measured.
     """
     size = size or bucket_size(mesh)
     tri = mesh.visible()
     if restrict_surface >= 0:
         tri = tri.where(F.col("surface_idx") == restrict_surface)
-    cells = cut(bucketed(tri.drop("v0", "v1", "v2"), size))
+    box = {f"{name}{k}": f(*(F.col(p + k) for p in "abc")) for name, f in (("low", F.least), ("high", F.greatest)) for k in "xyz"}
+    cells = cut(bucketed(prepared(tri.drop("v0", "v1", "v2")).withColumns(box), size))
+    # Columns that are known to hold no nulls make for much less code.
+    cells = cells.where(" and ".join(f"{c} is not null" for c in cells.columns))
     n, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
     cells = F.broadcast(cells) if n <= BROADCAST_ROWS else cells
     p = _points(points)
@@ -249,8 +263,12 @@ def closest(mesh: MeshMap, points: DataFrame, *, restrict_surface: int = -1, siz
     clip = lambda g, low, high: F.greatest(F.lit(low), F.least(F.lit(high), g))
     side = lambda low, high, least, most: F.explode(F.sequence(clip(low, least, most), clip(high, least, most)))
 
-    def nearest(spread_out: DataFrame) -> DataFrame:
-        met = _squared(spread_out.join(cells, ["gx", "gy"]), at)
+    def nearest(spread_out: DataFrame, within: Column | None = None) -> DataFrame:
+        met = spread_out.where("px is not null and py is not null and pz is not null").join(cells, ["gx", "gy"])
+        if within is not None:
+            off = [F.greatest(F.lit(0.0), F.col(f"low{k}") - v, v - F.col(f"high{k}")) for v, k in zip(at, "xyz", strict=True)]
+            met = met.where(geom.dot(off, off) <= within)
+        met = _squared(met, at)
         return met.groupBy("pid").agg(F.min(F.struct("_sq", "surface_idx", "cid")).alias("m"))
 
     home_x, home_y = clip(gx, x0, x1), clip(gy, y0, y1)
@@ -259,42 +277,64 @@ def closest(mesh: MeshMap, points: DataFrame, *, restrict_surface: int = -1, siz
     while True:
         best = nearest(now.withColumn("gx", side(home_x - ring, home_x + ring, x0, x1)).withColumn("gy", side(home_y - ring, home_y + ring, y0, y1)))
         inside = (home_x == gx) & (home_y == gy) & (F.col("m._sq") <= border * border)
-        state = cut(now.join(best, "pid", "left").withColumn("_closed", F.coalesce(inside, F.lit(False))))
+        state = now.join(best, "pid", "left").withColumn("_closed", F.coalesce(inside, F.lit(False))).withColumn("_r", F.sqrt("m._sq") * (1 + 1e-12))
+        reach = F.col("_r")
+        ends = {"_x0": clip(cell(at[0] - reach, size), x0, x1), "_x1": clip(cell(at[0] + reach, size), x0, x1), "_y0": clip(cell(at[1] - reach, size), y0, y1), "_y1": clip(cell(at[1] + reach, size), y0, y1)}
+        state = cut(state.withColumns(ends).withColumn("_bound", reach * reach))
         closed, beyond = state.where("_closed").select("pid", "m"), state.where("not _closed and m is not null")
         done, wide = (closed, beyond) if done is None else (done.unionByName(closed), wide.unionByName(beyond))
         left = state.where("m is null").select(*p.columns)
         if ring > x1 - x0 + y1 - y0 or not left.limit(1).count():
             break
         now, ring = left, max(1, 2 * ring)
-    reach = F.sqrt("m._sq") * (1 + 1e-12)
-    touched = wide.select(*p.columns, "m", side(cell(at[0] - reach, size), cell(at[0] + reach, size), x0, x1).alias("gx"))
-    touched = touched.withColumn("gy", side(cell(at[1] - reach, size), cell(at[1] + reach, size), y0, y1))
+    touched = wide.select("pid", "px", "py", "pz", "_bound", "_y0", "_y1", F.explode(F.sequence("_x0", "_x1")).alias("gx"))
+    touched = touched.select("pid", "px", "py", "pz", "_bound", "gx", F.explode(F.sequence("_y0", "_y1")).alias("gy"))
     off = lambda g, v: F.greatest(F.lit(0.0), F.col(g) * size - v, v - (F.col(g) + 1) * size)
-    touched = touched.where(off("gx", at[0]) * off("gx", at[0]) + off("gy", at[1]) * off("gy", at[1]) <= reach * reach).drop("m")
-    done = done.unionByName(nearest(touched)).select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), F.col("m._sq").alias("sqdist"))
-    q = geom.closest_point_on_triangle(at, *corners())
-    found = p.join(done, "pid", "left").join(mesh.geometry().drop("v0", "v1", "v2"), "cid", "left")
-    return found.select("pid", "px", "py", "pz", "surface", "cid", *(F.when(F.col("cid").isNotNull(), v).alias(f"q{k}") for v, k in zip(q, "xyz", strict=True)), "sqdist", F.col("cid").isNotNull().alias("found"))
-
-
-def _squared(met: DataFrame, at: geom.Point) -> DataFrame:
-    """met (points and triangles) with _sq, the squared distance: by the foot of the perpendicular where that lies inside, else by the nearest
-    of the sides. Step by step, so that no value is worked out twice."""
+    touched = touched.where(off("gx", at[0]) * off("gx", at[0]) + off("gy", at[1]) * off("gy", at[1]) <= F.col("_bound"))
+    done = done.unionByName(nearest(touched, F.col("_bound"))).select("pid", F.col("m.surface_idx").alias("surface"), F.col("m.cid").alias("cid"), F.col("m._sq").alias("sqdist"))
+    # Of the nearest triangle the point that _squared measured to.
+    found = _squared(p.join(done, "pid", "left").join(prepared(mesh.geometry().drop("v0", "v1", "v2")), "cid", "left"), at)
+    side = F.when(F.col("_inside"), 3).when((F.col("_d0") <= F.col("_d1")) & (F.col("_d0") <= F.col("_d2")), 0).when(F.col("_d1") <= F.col("_d2"), 1).otherwise(2)
+    found = found.withColumn("_side", side).withColumn("_k", F.when(F.col("_side") == 3, _off(at)).otherwise(F.element_at(F.array("_t0", "_t1", "_t2"), F.least(F.col("_side"), F.lit(2)) + 1)))
+    pick = lambda *options: F.element_at(F.array(*options), F.col("_side") + 1)
+    start, along = ([pick(*(F.col(f"{n}{k}") for n in names)) for k in "xyz"] for names in (("a", "b", "c", "p"), ("_e0", "_e1", "_e2", "_n")))
+    q = [F.when(F.col("cid").isNotNull(), s + e * F.col("_k")).alias(f"q{k}") for s, e, k in zip(start, along, "xyz", strict=True)]
+    return found.select("pid", "px", "py", "pz", "surface", "cid", *q, "sqdist", F.col("cid").isNotNull().alias("found"))
+
+
+def prepared(triangles: DataFrame) -> DataFrame:
+    """triangles (ax..cz) with what measuring needs of each: the sides (_e0x..), one over their squared lengths (_l0.., 0 for none), the normal (_nx..)
+    and one over its square (_l3), and the vectors in its plane that point inside from each side (_m0x..). So that little is worked out
+    for each pair: more code than HotSpot compiles would run many times slower."""
     a, b, c = corners()
-    sides = []
+    over = lambda v, least: F.coalesce(geom.ratio(F.lit(1.0), v, v > least), F.lit(0.0))
     for k, (s, e) in enumerate(((a, b), (b, c), (c, a))):
-        along, to = geom.sub(e, s), geom.sub(at, s)
-        n = geom.dot(along, along)
-        met = met.withColumn(f"_t{k}", geom.clamp01(F.coalesce(geom.ratio(geom.dot(to, along), n, n > 0), F.lit(0.0))))
-        off = geom.sub(to, geom.scale(along, F.col(f"_t{k}")))
-        sides.append(geom.dot(off, off))
-    n, to = geom.cross(geom.sub(b, a), geom.sub(c, a)), geom.sub(at, a)
-    met = met.withColumns({f"_n{k}": v for k, v in zip("xyz", n, strict=True)})
+        triangles = triangles.withColumns({f"_e{k}{x}": v for x, v in zip("xyz", geom.sub(e, s), strict=True)})
+    sides = [geom.point(f"_e{k}") for k in range(3)]
+    triangles = triangles.withColumns({f"_n{x}": v for x, v in zip("xyz", geom.cross(sides[0], geom.sub(c, a)), strict=True)})
     n = geom.point("_n")
-    size, off = geom.dot(n, n), geom.dot(to, n)
-    left = [geom.dot(geom.cross(geom.sub(e, s), geom.sub(at, s)), n) >= 0 for s, e in ((a, b), (b, c), (c, a))]
-    inside = left[0] & left[1] & left[2] & (size > 1e-20)
-    return met.withColumn("_sq", F.when(inside, geom.ratio(off * off, size, size > 0)).otherwise(F.least(*sides)))
+    lengths = {f"_l{k}": over(geom.dot(e, e), 0.0) for k, e in enumerate(sides)} | {"_l3": over(geom.dot(n, n), 1e-20)}
+    return triangles.withColumns(lengths | {f"_m{k}{x}": v for k, e in enumerate(sides) for x, v in zip("xyz", geom.cross(n, e), strict=True)})
+
+
+def _off(at: geom.Point) -> Column:
+    """How many normals the foot of the perpendicular is away from a point."""
+    return -geom.dot(geom.sub(at, geom.point("a")), geom.point("_n")) * F.col("_l3")
+
+
+def _squared(met: DataFrame, at: geom.Point) -> DataFrame:
+    """met (points and prepared triangles) with _sq, the squared distance: by the foot of the perpendicular where that lies inside (_inside), else by
+    the nearest of the sides (_d0.._d2, at _t0.._t2 of their length). Step by step, so that no value is worked out twice."""
+    starts = corners()
+    for k in range(3):
+        to, e = geom.sub(at, starts[k]), geom.point(f"_e{k}")
+        met = met.withColumn(f"_t{k}", geom.clamp01(geom.dot(to, e) * F.col(f"_l{k}")))
+        off = geom.sub(to, geom.scale(e, F.col(f"_t{k}")))
+        met = met.withColumn(f"_d{k}", geom.dot(off, off))
+    left = [geom.dot(geom.sub(at, starts[k]), geom.point(f"_m{k}")) >= 0 for k in range(3)]
+    met = met.withColumn("_inside", F.coalesce(left[0] & left[1] & left[2] & (F.col("_l3") > 0), F.lit(False)))
+    high = geom.dot(geom.sub(at, starts[0]), geom.point("_n"))
+    return met.withColumn("_sq", F.when(F.col("_inside"), high * high * F.col("_l3")).otherwise(F.least("_d0", "_d1", "_d2")))
 
 
 # --- neighbourhoods of points --------------------------------------------------------------------------------------------------
