@@ -148,7 +148,9 @@ def content_hashes(mesh: MeshMap) -> DataFrame:
 
 
 def content_hash_fnv1a(mesh: MeshMap, name: str) -> int:
-    """The 64-bit FNV-1a hash of a layer's size and values in order, byte by byte. It runs over the values as they stream to the driver."""
+    """The 64-bit FNV-1a hash of a layer's size and values in order, byte by byte. FNV-1a can't be put together from parts, so it runs over the
+    values as they stream to the driver: a call for comparing with hashes made elsewhere, on maps of a size that one machine holds. To compare
+    layers here use content_hashes()."""
     import struct
 
     kind = layer_type(mesh, name)

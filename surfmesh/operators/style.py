@@ -59,5 +59,11 @@ def options(mesh: MeshMap) -> list[str]:
     return list_layers(mesh) + (["vertex RGBA"] if mesh.vertices.where("r is not null").limit(1).count() else [])
 
 
+def selected(mesh: MeshMap, before: str | None) -> str | None:
+    """What is selected when a map comes: what was selected before if the map still has it, else the first option (None where there is none)."""
+    offered = options(mesh)
+    return before if before in offered else offered[0] if offered else None
+
+
 def info_line(mesh: MeshMap) -> str:
     return f"Surfaces: {mesh.surfaces.count()} | Triangles: {mesh.navcels.count()}"

@@ -3,18 +3,21 @@ is there for readers that come later, and a batch that is run again replaces its
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from surfmesh.functions.geom import orientation_around_z
 from surfmesh.operators.cloud import from_points
 from surfmesh.operators.grid import GridInfo, from_occupancy_grid
 from surfmesh.operators.layers import remove_layer
 from surfmesh.operators.mesh import MeshMap
-from surfmesh.sources import tables
+from surfmesh.operators.style import layer_colors
+from surfmesh.sources import files, tables
 from surfmesh.types import BuildParams, LayerType
 
 GRID = "stamp timestamp, frame_id string, width int, height int, resolution double, ox double, oy double, oz double, data array<smallint>"
@@ -26,28 +29,57 @@ CLOUD_PARAMS = BuildParams(max_edge_len=5.0, min_angle_deg=25.0, max_slope_deg=3
 
 @dataclass(frozen=True)
 class MapStore:
-    """The current map, in the folder path (shared by all who write or read it)."""
+    """The current map, in the folder path (shared by all who write or read it).
+
+    A version's folder has what that version wrote; the small file `current` says where each part and each layer's values are, and takes the place
+    of the last one in one step. So an update of a layer writes that layer alone, and a reader finds a whole map at any time. What neither
+    the current map nor the one before it has any part in is deleted.
+    """
 
     path: str
 
-    def publish(self, mesh: MeshMap, version: int | str) -> None:
-        spark = mesh.spark
-        tables.save(mesh, f"{self.path}/versions/{version}", mode="overwrite")
-        spark.createDataFrame([(str(version),)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/current")
+    def _current(self, spark: SparkSession) -> dict | None:
+        data = files.read(spark, f"{self.path}/current")
+        return None if data is None else json.loads(data)
+
+    def publish(self, mesh: MeshMap, version: int | str, changed: Iterable[str] | None = None) -> None:
+        """Makes mesh the current map. changed: the layers that differ from the current map, if nothing else does."""
+        spark, last = mesh.spark, self._current(mesh.spark)
+        own = f"versions/{version}"
+        names = [r[0] for r in mesh.layers.select("name").collect()]
+        keep = last is not None and changed is not None and not any(own in x for x in (*last["parts"].values(), *last["layers"].values()))
+        new = [n for n in names if not keep or n in set(changed) or n not in last["layers"]]
+        fresh = ["layers"] if keep else [p for p in tables.PARTS if p != "layer_values"]
+        for part in fresh:
+            getattr(mesh, part).write.mode("overwrite").parquet(f"{self.path}/{own}/{part}")
+        if new:
+            mesh.layer_values.where(F.col("layer").isin(new)).write.mode("overwrite").partitionBy("layer").parquet(f"{self.path}/{own}/layer_values")
+        state = {
+            "version": str(version),
+            "parts": ((last["parts"] if keep else {}) | {p: f"{own}/{p}" for p in fresh}),
+            "layers": {n: f"{own}/layer_values" if n in new else last["layers"][n] for n in names},
+        }
+        files.write(spark, f"{self.path}/current", json.dumps(state).encode())
+        used = {x.split("/")[1] for s in (state, last or state) for x in (*s["parts"].values(), *s["layers"].values())}
+        for name in files.listed(spark, f"{self.path}/versions"):
+            if name not in used:
+                files.remove(spark, f"{self.path}/versions/{name}")
 
     def version(self, spark: SparkSession) -> str | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            row = spark.read.schema("version string").parquet(f"{self.path}/current").first()
-        except AnalysisException:
-            return None
-        return row and row[0]
+        state = self._current(spark)
+        return state and state["version"]
 
     def load(self, spark: SparkSession) -> MeshMap | None:
         """The current map; None before the first one."""
-        version = self.version(spark)
-        return None if version is None else tables.load(spark, f"{self.path}/versions/{version}")
+        state = self._current(spark)
+        if state is None:
+            return None
+        parts = {p: spark.read.schema(tables.PARTS[p]).parquet(f"{self.path}/{at}") for p, at in state["parts"].items()}
+        values = spark.createDataFrame([], tables.PARTS["layer_values"])
+        for at in sorted(set(state["layers"].values())):
+            held = [n for n, x in state["layers"].items() if x == at]
+            values = values.unionByName(spark.read.schema(tables.PARTS["layer_values"]).parquet(f"{self.path}/{at}").where(F.col("layer").isin(held)))
+        return MeshMap(**parts, layer_values=values)
 
     def reset(self, spark: SparkSession) -> None:
         """Forgets the map and its layers."""
@@ -55,10 +87,12 @@ class MapStore:
 
 
 def newest(batch: DataFrame, *by: str) -> DataFrame:
-    """The row of the latest stamp, of each of `by`."""
+    """The row of the latest stamp, of each of `by`; of equal stamps that of the greatest hash of all columns, so that a batch that is run again
+    gives the same."""
+    order = [F.desc_nulls_last("stamp"), F.desc(F.xxhash64(*batch.columns))]
     if not by:
-        return batch.orderBy(F.desc("stamp")).limit(1)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("stamp")))
+        return batch.orderBy(*order).limit(1)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return batch.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -133,7 +167,8 @@ def layer_updates(stream: DataFrame, store: MapStore, checkpoint: str, rejects:
         seen.where("why is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         good = seen.where("why is null").drop("why")
         if mesh is not None and good.limit(1).count():
-            store.publish(apply_updates(mesh, good), f"update-{number}")
+            names = [r[0] for r in good.select("name").distinct().collect()]
+            store.publish(apply_updates(mesh, good), f"update-{number}", changed=names)
         batch.unpersist()
 
     return _run(stream, each, checkpoint, trigger)
@@ -150,6 +185,40 @@ def republish(spark: SparkSession, store: MapStore, publish: Callable[[MeshMap],
     return _run(clock, each, checkpoint, {"processingTime": every})
 
 
+def on_change(spark: SparkSession, store: MapStore, draw: Callable[[DataFrame], None], checkpoint: str, layer: str, scheme: str = "heat", every: str = "1 second") -> StreamingQuery:
+    """Hands the layer's colours (style.layer_colors) to draw when the current map has changed since the last look, and only then."""
+    seen: list[str | None] = [None]
+
+    def each(batch: DataFrame, number: int) -> None:
+        state = files.read(spark, f"{store.path}/current")
+        if state is not None and state != seen[0]:
+            draw(layer_colors(store.load(spark), layer, scheme))
+            seen[0] = state
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return _run(clock, each, checkpoint, {"processingTime": every})
+
+
+def lost(updates: DataFrame) -> DataFrame:
+    """(name, n_messages, n_lost) of messages that carry their publisher's running number seq: how many numbers between each layer's first and last
+    are missing. Numbers that come twice count once."""
+    found = updates.where("seq is not null").groupBy("name").agg(F.count_distinct("seq").alias("n_messages"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
+    return found.select("name", "n_messages", (F.col("_hi") - F.col("_lo") + 1 - F.col("n_messages")).alias("n_lost"))
+
+
+def goals(picks: DataFrame, frame_id: str = "map") -> DataFrame:
+    """Goal poses (frame_id, x, y, z, qx, qy, qz, qw, ...) of picks (px, py, pz and the angle theta about +z); null points give no goal."""
+    turn = orientation_around_z(F.col("theta"))
+    rest = [c for c in picks.columns if c not in ("px", "py", "pz", "theta")]
+    return picks.where("px is not null and py is not null and pz is not null").select(F.lit(frame_id).alias("frame_id"), *(F.col(f"p{k}").alias(k) for k in "xyz"), *(v.alias(f"q{k}") for v, k in zip(turn, "xyzw", strict=True)), *rest)
+
+
+def publish_goals(stream: DataFrame, folder: str, checkpoint: str, frame_id: str = "map", trigger: dict | None = None) -> StreamingQuery:
+    """Appends the goals of a stream of picks to a Parquet folder, each once."""
+    out = goals(stream, frame_id).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def counters(updates: DataFrame) -> DataFrame:
     """Messages and last stamp of each layer, as a streaming aggregation (or one over a table)."""
     return updates.groupBy("name").agg(F.count("*").alias("n_messages"), F.max("stamp").alias("last_stamp"))

@@ -2,13 +2,14 @@
 
 import datetime
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from surfmesh.functions import geom
-from surfmesh.operators import cloud, grid, layers
+from surfmesh.operators import cloud, grid, layers, style
 from surfmesh.operators.mesh import MeshMap
 from surfmesh.sources import binary, json_maps, messages, tables
 from surfmesh.streaming import maps
@@ -217,3 +218,79 @@ def test_republishing(spark, tmp_path):
     finally:
         query.stop()
     assert seen and seen[0] == 2
+
+
+def test_an_update_writes_its_layer_alone(spark, tmp_path):
+    store = maps.MapStore(f"{tmp_path}/store")
+    mesh = layers.add_layer(sample(spark), "a", LayerType.F32, default=1.0)
+    mesh = layers.add_layer(mesh, "b", LayerType.F32, default=2.0)
+    store.publish(mesh, "one")
+    current = store.load(spark)
+    store.publish(layers.layer_clear(current, "a", LayerType.F32, 5.0), "two", changed=["a"])
+    assert sorted(os.listdir(tmp_path / "store" / "versions")) == ["one", "two"]
+    assert sorted(x for x in os.listdir(tmp_path / "store" / "versions" / "two")) == ["layer_values", "layers"]
+    assert [x for x in os.listdir(tmp_path / "store" / "versions" / "two" / "layer_values") if x.startswith("layer=")] == ["layer=a"]
+    again = store.load(spark)
+    assert {r.value for r in layers.values_of(again, "a").collect()} == {5.0} and {r.value for r in layers.values_of(again, "b").collect()} == {2.0}
+    # A map that was loaded before the update is still whole; two versions later what it alone uses is gone.
+    assert {r.value for r in layers.values_of(current, "a").collect()} == {1.0}
+    store.publish(sample(spark), "three")
+    store.publish(sample(spark), "four")
+    assert sorted(os.listdir(tmp_path / "store" / "versions")) == ["four", "three"]
+    assert store.version(spark) == "four"
+
+
+def test_equal_stamps_have_one_newest(spark):
+    rows = [(stamp(1), "x", f"n{k}", 1, None, [float(k)], None) for k in range(20)] + [(None, "x", "none", 1, None, [0.0], None)]
+    df = spark.createDataFrame(rows, maps.UPDATE)
+    assert len({maps.newest(df.repartition(n)).first().name for n in (1, 3, 7)}) == 1
+    assert maps.newest(df.limit(0)).count() == 0
+
+
+def test_colours_are_drawn_when_the_map_changes(spark, tmp_path):
+    store, seen = maps.MapStore(f"{tmp_path}/store"), []
+    store.publish(layers.add_layer(sample(spark), "a", LayerType.F32, default=1.0), "one")
+    query = maps.on_change(spark, store, lambda df: seen.append(df.count()), f"{tmp_path}/c", "a", every="100 milliseconds")
+    try:
+        for wanted in (1, 2):
+            for _ in range(200):
+                if len(seen) >= wanted:
+                    break
+                query.awaitTermination(0.1)
+            if wanted == 1:
+                query.awaitTermination(1)  # nothing changes, nothing is drawn
+                assert len(seen) == 1
+                store.publish(layers.add_layer(sample(spark), "a", LayerType.F32, default=2.0), "two")
+    finally:
+        query.stop()
+    assert seen == [2, 2]
+
+
+def test_lost_messages_and_goals(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 5), ("b", 7), ("b", None)], "name string, seq long")
+    assert {tuple(r) for r in maps.lost(rows).collect()} == {("a", 3, 2), ("b", 1, 0)}
+    picks = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 0.0), (2, None, None, None, 0.0), (3, 0.0, 0.0, 0.0, 1.0)], "pid long, px double, py double, pz double, theta double")
+    picks.write.parquet(f"{tmp_path}/picks")
+    maps.publish_goals(spark.readStream.schema(picks.schema).parquet(f"{tmp_path}/picks"), f"{tmp_path}/goals", f"{tmp_path}/c").awaitTermination()
+    got = {r.pid: r for r in spark.read.parquet(f"{tmp_path}/goals").collect()}
+    assert set(got) == {1, 3} and (got[1].x, got[1].y, got[1].z, got[1].qz, got[1].qw) == (1.0, 2.0, 3.0, 0.0, 1.0)
+
+
+def test_a_selection_outlives_a_map_that_has_it(spark):
+    mesh = layers.add_layer(layers.add_layer(sample(spark), "a", LayerType.F32), "b", LayerType.F32)
+    assert style.selected(mesh, "b") == "b" and style.selected(mesh, "gone") == "a" and style.selected(mesh, None) == "a"
+    assert style.selected(sample(spark), "b") != "b"
+
+
+def test_files_at_hadoop_paths(spark, tmp_path):
+    mesh = layers.add_layer(sample(spark), "a", LayerType.F32, default=1.0)
+    binary.save(mesh, f"file://{tmp_path}/deep/er/m.map")
+    assert os.listdir(tmp_path / "deep" / "er") and binary.load(spark, f"file://{tmp_path}/deep/er/m.map").navcels.count() == 2
+    binary.save(mesh, f"{tmp_path}/deep/er/m2.map")
+    found = binary.load_all(spark, f"file://{tmp_path}/deep/er/*.map")
+    assert sorted(r.path.split("/")[-1] for r in found.collect()) == ["m.map", "m2.map"] and found.first().message.positions_x == [v for v in messages.to_message(mesh).first().positions_x]
+    with pytest.raises(OSError):
+        (tmp_path / "file").write_text("x")
+        binary.save(mesh, f"{tmp_path}/file/below.map")
+    with pytest.raises(FileNotFoundError):
+        binary.load(spark, f"{tmp_path}/none.map")
