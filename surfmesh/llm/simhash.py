@@ -26,6 +26,8 @@ from surfmesh.llm.common import arrow_schema, at, connected_components, cut, map
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt in blocks of about as many.
 BUCKET = 4096
+#: Distinct shingles, over all texts of a block, that a block of keep_one_similar() holds at most, but for chance and a longer text (8 bytes each).
+BLOCK_SHINGLES = 4 << 20
 #: Bands of so many minimum hashes each: a pair of Jaccard similarity 0.8 shares none of them with a chance of about 3e-5.
 BANDS, BAND = 20, 4
 #: Differing bits that a pair at similarity 0.8 has at most, but for a chance of about 1e-6 (binomial, 0.15 to 0.19 of 64 bits expected).
@@ -223,23 +225,24 @@ def similar_forest(sets: list[np.ndarray], fps: np.ndarray, threshold: float) ->
     return links
 
 
-SETS = "_id long, _row long, sd long, fp long, bands array<long>"
+SETS = "_id long, _row long, sd long, fp long, size long, bands array<long>"
 
 
 def set_prints(digest: DataFrame, shingle: int = 5) -> DataFrame:
-    """SETS of every row of digest (_id, _row, _text): a digest of the set of shingles (0 for none), its SimHash and its bands."""
+    """SETS of every row of digest (_id, _row, _text): a digest of the set of shingles (0 for none), its SimHash, its size and its bands."""
     schema = arrow_schema(SETS)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            sd, fp, bands = [], [], []
+            sd, fp, size, bands = [], [], [], []
             for x in batch.column(2):
                 grams = shingle_set(x.as_py() or b"", cache, shingle)
                 sd.append(xxhash.xxh64_intdigest(grams.tobytes(), 44) - (1 << 63) if len(grams) else 0)
                 fp.append(set_print(grams) if len(grams) else 0)
+                size.append(len(grams))
                 bands.append(band_keys(grams) if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sd, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, schema.field("bands").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sd, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, schema.field("bands").type)], schema=schema)
 
     return map_arrow(digest.select("_id", "_row", F.col("_text").cast("string").cast("binary").alias("_text")), stage, SETS)
 
@@ -285,12 +288,13 @@ def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     digest = packed(docs, _id=at(id_col).cast("long"), _row=row_hash(docs), _text=at(text_col))
     prints = cut(set_prints(digest, shingle))
-    reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     keyed = reps.select("sd", F.posexplode("bands").alias("t", "k"))
     heads = keyed.groupBy("t", "k").agg(F.min("sd").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     loose = connected_components(keyed.join(heads, ["t", "k"]).select(F.col("sd").alias("a"), "b").distinct())
-    # Groups are dealt in blocks, each pair of blocks to a task of its own.
-    blocks = loose.groupBy("root").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("n"))
+    # Groups are dealt in blocks, by texts and by shingles, each pair of blocks to a task of its own.
+    sizes = loose.join(reps.select(F.col("sd").alias("node"), "size"), "node")
+    blocks = sizes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     named = loose.join(blocks, "root").select(F.col("root").alias("c"), F.col("node").alias("sd"), own.alias("own"), "n").join(reps.drop("bands"), "sd")
     texts = digest.select(F.col("_row").alias("_rep"), F.col("_text").cast("string").cast("binary").alias("_text"))

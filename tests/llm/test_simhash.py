@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import pytest
 from surfmesh.llm import simhash as S
 
 
@@ -151,7 +152,8 @@ def test_near_copies_go_as_by_brute_force(docs):
     assert S.keep_one_similar(docs([])).count() == 0
 
 
-def test_near_copies_in_blocks(docs, monkeypatch):
-    monkeypatch.setattr(S, "BUCKET", 2)
+@pytest.mark.parametrize("limit", [("BUCKET", 2), ("BLOCK_SHINGLES", 100)])
+def test_near_copies_in_blocks(docs, monkeypatch, limit):
+    monkeypatch.setattr(S, *limit)
     rows = near_copies()
     assert sorted(r.doc_id for r in S.keep_one_similar(docs([(i, t, "s") for i, t in rows])).collect()) == jaccard_groups(rows)
