@@ -4,6 +4,7 @@ and y; the exact test is applied to what shares a cell."""
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,36 @@ def corners() -> tuple[geom.Point, geom.Point, geom.Point]:
     return geom.point("a"), geom.point("b"), geom.point("c")
 
 
+@dataclass(frozen=True)
+class IndexedMap(MeshMap):
+    """A map whose triangles, with their corners, and whose cell side are kept: see indexed(). An edit gives a map that works them out anew."""
+
+    kept: tuple | None = None
+
+    def _sound(self) -> bool:
+        return self.kept is not None and all(x is y for x, y in zip(self.kept[0], (self.vertices, self.navcels, self.surface_navcels), strict=True))
+
+    def geometry(self) -> DataFrame:
+        return self.kept[1] if self._sound() else super().geometry()
+
+    def visible(self) -> DataFrame:
+        return self.kept[2] if self._sound() else super().visible()
+
+
+def indexed(mesh: MeshMap) -> IndexedMap:
+    """The map with its triangles and their corners written to the shared folder once, for queries that come again and again: each would join
+    triangles and vertices three times and measure them for the cell side."""
+    plain = MeshMap(mesh.vertices, mesh.navcels, mesh.surfaces, mesh.surface_navcels, mesh.layers, mesh.layer_values)
+    triangles = cut(plain.geometry())
+    listed = cut(triangles.join(mesh.surface_navcels.select("surface_idx", "cid").distinct(), "cid"))
+    size = bucket_size(plain)
+    return IndexedMap(mesh.vertices, mesh.navcels, mesh.surfaces, mesh.surface_navcels, mesh.layers, mesh.layer_values, kept=((mesh.vertices, mesh.navcels, mesh.surface_navcels), triangles, listed, size))
+
+
 def bucket_size(mesh: MeshMap) -> float:
     """A cell side of the mean extent of the triangles in x and y; 1 for an empty map."""
+    if isinstance(mesh, IndexedMap) and mesh._sound():
+        return mesh.kept[3]
     extent = (F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx") + F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")) / 2
     mean = mesh.geometry().agg(F.avg(extent)).first()[0]
     return mean if mean and math.isfinite(mean) else 1.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfmesh.operators.mesh import MeshMap
-from surfmesh.plans.lineage import connected_components, cut
+from surfmesh.plans.lineage import connected_components, cut, numbered
 
 
 def components(mesh: MeshMap) -> DataFrame:
@@ -25,17 +25,21 @@ def components(mesh: MeshMap) -> DataFrame:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """(root, n, surface_idx) of components (cid, root): the largest first, the least root on ties."""
-    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    return sizes.withColumn("surface_idx", F.row_number().over(Window.orderBy(F.desc("n"), "root")) - 1)
+    """(root, n, surface_idx) of components (cid, root): the largest first, the least root on ties. Numbered part by part: there may be as many
+    components as triangles."""
+    sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("_less", -F.col("n"))
+    return numbered(sizes, "surface_idx", "_less", "root").select("root", "n", F.col("surface_idx").cast("int").alias("surface_idx"))
 
 
 def surfaces_by_connectivity(mesh: MeshMap, frame_id: str = "map") -> MeshMap:
     """The map with a surface for each component, the largest first."""
     found = cut(components(mesh))
-    named = found.join(ranked(found), "root")
-    listed = named.select("surface_idx", (F.row_number().over(Window.partitionBy("surface_idx").orderBy("cid")) - 1).alias("pos"), "cid")
-    return replace(mesh, surfaces=named.select("surface_idx").distinct().withColumn("frame_id", F.lit(frame_id)), surface_navcels=cut(listed))
+    order = ranked(found)
+    # One surface may hold nearly all triangles, so positions are counted through and moved down by each surface's first.
+    listed = numbered(found.join(order, "root").select("surface_idx", "cid"), "_n", "surface_idx", "cid")
+    first = listed.groupBy("surface_idx").agg(F.min("_n").alias("_first"))
+    listed = listed.join(first, "surface_idx").select("surface_idx", (F.col("_n") - F.col("_first")).cast("int").alias("pos"), "cid")
+    return replace(mesh, surfaces=order.select("surface_idx", F.lit(frame_id).alias("frame_id")), surface_navcels=cut(listed))
 
 
 def keep_top_surfaces(mesh: MeshMap, n: int) -> MeshMap:
@@ -43,6 +47,7 @@ def keep_top_surfaces(mesh: MeshMap, n: int) -> MeshMap:
     if n <= 0:
         return mesh
     sizes = mesh.surfaces.join(mesh.surface_navcels.groupBy("surface_idx").agg(F.count("*").alias("n")), "surface_idx", "left")
-    rank = sizes.select("surface_idx", (F.row_number().over(Window.orderBy(F.desc(F.coalesce("n", F.lit(0))), "surface_idx")) - 1).alias("new")).where(F.col("new") < n)
+    order = [F.desc(F.coalesce("n", F.lit(0))), F.col("surface_idx")]
+    rank = sizes.orderBy(*order).limit(n).select("surface_idx", (F.row_number().over(Window.orderBy(*order)) - 1).alias("new"))  # n rows
     moved = lambda df: df.join(rank, "surface_idx").select(F.col("new").alias("surface_idx"), *(c for c in df.columns if c != "surface_idx"))
     return replace(mesh, surfaces=moved(mesh.surfaces), surface_navcels=moved(mesh.surface_navcels))

@@ -295,3 +295,20 @@ def test_empty_map(spark):
     assert not cast(mesh, ((0, 0, 1), (0, 0, -1)))[0].hit and not where(mesh, (0, 0, 0))[0].found
     assert not spatial.closest(mesh, points(spark, (0, 0, 0))).first().found
     assert topology.components(mesh).count() == 0 and mesh.adjacency().count() == 0
+
+
+def test_an_indexed_map_answers_like_its_own(spark):
+    from surfmesh.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    mesh, points = fx.floors(spark, d), fx.floor_points(spark, d).limit(200)
+    held = spatial.indexed(mesh)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert spatial.bucket_size(held) == spatial.bucket_size(mesh)
+    for ask in (spatial.locate, spatial.closest):
+        assert rows(ask(held, points).select("pid", "cid")) == rows(ask(mesh, points).select("pid", "cid"))
+    # An edited one doesn't answer from what was kept.
+    moved = held.transformed(((1, 0, 0), (0, 1, 0), (0, 0, 1)), (0, 0, 1))
+    assert moved.geometry().agg(F.max("az")).first()[0] == mesh.geometry().agg(F.max("az")).first()[0] + 1
+    fewer, _ = held.remove_surface(0)
+    assert fewer.visible().count() == mesh.remove_surface(0)[0].visible().count()
