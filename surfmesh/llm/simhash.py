@@ -7,18 +7,20 @@ subspace, so some table keeps none of them: every pair within the radius shares
 Copies collapse first: buckets hold distinct fingerprints. A bucket hands on a spanning forest of its links, never all its pairs; a
 bucket of more than BUCKET fingerprints is dealt in blocks, each pair of blocks to a task of its own.
 
-A radius that covers is a small one. keep_one_similar() links by similarity: texts that share a band of minimum hashes fall in one group,
-and inside a group every pair within SIMILAR_RADIUS bits is compared exactly.
+A radius that covers is a small one. keep_one_similar() links by similarity, so its fingerprints are longer: the masks cover each of PARTS parts
+by itself, and fingerprints that share a bucket of any part and differ in few of the CHECK words fall in one group. Inside a group every pair
+within SIMILAR_RADIUS bits of the first word is compared exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfmesh.llm.common import arrow_schema, at, connected_components, cut, map_arrow, packed, row_hash, unpacked
@@ -28,11 +30,18 @@ BITS = 64
 BUCKET = 4096
 #: Distinct shingles, over all texts of a block, that a block of keep_one_similar() holds at most, but for chance and a longer text (8 bytes each).
 BLOCK_SHINGLES = 4 << 20
-#: Bands of so many minimum hashes each: a pair of Jaccard similarity 0.8 shares none of them with a chance of about 3e-5.
-BANDS, BAND = 20, 4
-#: Differing bits that a pair at similarity 0.8 has at most, but for a chance of about 1e-6 (binomial, 0.15 to 0.19 of 64 bits expected).
+#: Parts of a long fingerprint, their bits, and the radius that masks cover in each. Pairs within PARTS * (PART_RADIUS + 1) - 1 bits of all parts
+#: share a bucket without exception; a pair at similarity 0.8 (0.15 of the bits expected) shares none with a chance of about 2e-5.
+PARTS, PART, PART_RADIUS = 16, 21, 2
+#: Words of 64 bits, before the parts, that a fingerprint carries into its buckets, and the differing bits that a pair at similarity 0.8 has in
+#: them at most, but for a chance of about 3e-7; unrelated pairs pass with one of about 4e-9.
+CHECK, CHECK_RADIUS = 3, 56
+WORDS = CHECK + -(-PARTS * PART // BITS)
+#: Differing bits of the first word that a pair at similarity 0.8 has at most, but for a chance of about 1e-6.
 SIMILAR_RADIUS = 26
-_SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows that are compared in one step, and the longest bucket among them that isn't searched by itself.
+_STEP, _SHORT = 1 << 16, 128
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 63, WORDS, dtype=np.uint64)
 _CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
@@ -181,24 +190,152 @@ def shingle_set(text: bytes, cache: dict[bytes, int], shingle: int = 5) -> np.nd
     return np.unique(out)
 
 
-def set_print(grams: np.ndarray) -> int:
-    """The SimHash of a set of hashes, as a signed 64-bit number."""
-    bytes_of = grams.view(np.uint8).reshape(-1, 8)
-    set_in = np.concatenate([np.bincount(bytes_of[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-    return int(np.packbits(2 * set_in > len(grams), bitorder="little").view(np.int64)[0])
+def set_print(grams: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes that isn't empty, of WORDS signed 64-bit numbers."""
+    set_in = np.zeros(BITS * WORDS, dtype=np.int64)
+    for lo in range(0, len(grams), 255):  # what eight bits can count
+        mixed = grams[lo : lo + 255, None] + _SEEDS
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        set_in += np.unpackbits((mixed ^ mixed >> np.uint64(31)).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_in > len(grams)).view(np.int64)
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A key for each of the BANDS bands of minimum hashes of a set that isn't empty."""
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(grams), 4096):
-        mixed = (grams[lo : lo + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]
-        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
-    key = np.zeros(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, BAND).T:
-        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def table_weights() -> np.ndarray:
+    """(bits of all parts, tables): what each bit that a table keeps counts in its key. Masks are as in covering_masks(), for each part."""
+    vectors = range(1, 1 << PART_RADIUS + 1)
+    weights = np.zeros((PARTS * PART, PARTS * len(vectors)), dtype=np.float32)
+    for part in range(PARTS):
+        for v in vectors:
+            kept = [i for i in range(PART) if (v & (i % len(vectors) + 1)).bit_count() & 1]
+            weights[[part * PART + i for i in kept], part * len(vectors) + v - 1] = [1 << k for k in range(len(kept))]
+    return weights
+
+
+def table_keys(prints: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(prints, tables): the bucket of every fingerprint in every table, no two tables having one in common."""
+    bits = np.unpackbits(np.ascontiguousarray(prints[:, CHECK:]).view(np.uint8), axis=1)[:, : PARTS * PART]
+    return (bits.astype(np.float32) @ weights).astype(np.int32) + (np.arange(weights.shape[1], dtype=np.int32) << PART)
+
+
+def check_forest(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (place, least place) that connect what pairs within CHECK_RADIUS bits of the words (and SIMILAR_RADIUS of the first) do."""
+    left, root = np.arange(len(words[0])), np.arange(len(words[0]))
+    while len(left):
+        start, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            k = front.pop()
+            some = left[np.bitwise_count(words[0][left] ^ words[0][k]) <= SIMILAR_RADIUS]
+            some = some[sum(np.bitwise_count(w[some] ^ w[k]).astype(int) for w in words) <= CHECK_RADIUS]
+            if len(some):
+                root[some] = start
+                front.extend(some)
+                left = left[~np.isin(left, some)]
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
+
+def short_forest(run: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """check_forest() of many short runs at once, run naming the run of each place in order."""
+    left, right = [], []
+    for d in range(1, len(run)):
+        same = run[d:] == run[:-d]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (np.bitwise_count(words[0][d:] ^ words[0][:-d]) <= SIMILAR_RADIUS))
+        i = i[sum(np.bitwise_count(w[i] ^ w[i + d]).astype(int) for w in words) <= CHECK_RADIUS]
+        left.append(i)
+        right.append(i + d)
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=int) for x in (left, right))
+    root, before = np.arange(len(run)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
+
+def bucket_links(by: int, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """The stage that links the CHECK words after `by` key columns, sorted by these: (-1, first words of a link, zeros). Rows of buckets of more
+    than `limit` come back as they were, under their key."""
+    names = ["key", *(f"w{k}" for k in range(CHECK))]
+
+    def links(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterable[pa.RecordBatch]:
+        if len(a):
+            none = np.zeros(len(a), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.full(len(a), -1, dtype=np.int32), *(words[0].view(np.int64)[x] for x in (a, b)), *[none] * (CHECK - 2)))), names=names)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows, over = 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if batch.num_rows:
+                    held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(by + CHECK)])
+                    rows += batch.num_rows
+                if rows < _STEP:
+                    continue
+            if not held:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            run = np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:by]], axis=0))])
+            size = np.bincount(run)
+            large = size > (rows if limit is None else limit)
+            large[0] |= over is not None and cols[0][0] == over  # what stood before it has gone already
+            whole = np.ones(len(size), dtype=bool)
+            whole[-1] = batch is None or large[-1]
+            over = cols[0][-1] if large[-1] else None
+            passed = large[run]
+            if passed.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[k][passed]) for k in (0, *range(by, by + CHECK))], names=names)
+            short = (whole & ~large & (size <= _SHORT))[run]
+            words = [c[short].view(np.uint64) for c in cols[by:]]  # as bits of signed numbers are counted in their absolute value
+            yield from links(words, *short_forest(run[short], words))
+            ends = np.cumsum(size)
+            for k in np.flatnonzero(whole & ~large & (size > _SHORT)):
+                words = [c[ends[k] - size[k] : ends[k]].view(np.uint64) for c in cols[by:]]
+                yield from links(words, *check_forest(words))
+            held = [] if whole[-1] else [[c[ends[-1] - size[-1] :] for c in cols]]
+            rows = len(held[0][0]) if held else 0
+
+    return stage
+
+
+def covering_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between the first words of long fingerprints (print), connecting those that share a bucket of some table and lie within
+    CHECK_RADIUS bits of the CHECK words (and SIMILAR_RADIUS of the first). Buckets of more than BUCKET are dealt in blocks, each pair of blocks to a task of its own."""
+    weights, words = table_weights(), [f"w{k}" for k in range(CHECK)]
+    schema = "key int" + "".join(f", {w} long" for w in words)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS)
+            for lo in range(0, len(of), 500):
+                keys = table_keys(of[lo : lo + 500], weights)
+                carried = [np.repeat(of[lo : lo + 500, k], keys.shape[1]) for k in range(CHECK)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *carried)], names=["key", *words])
+
+    keyed = map_arrow(prints.select("print"), stage, schema)
+    met = cut(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "w0"), bucket_links(1, BUCKET), schema))
+    found, left = (met.where(c).drop(*gone) for c, gone in (("key = -1", ("key", *words[2:])), ("key >= 0", ())))
+    full = left.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("c"))
+    own = F.pmod(F.xxhash64(*words, F.lit(7)), F.col("c")).cast("int")
+    dealt = left.join(full, "key").withColumn("own", own).select("key", "own", *words, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    by = ["key", "i", "j"]
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *words)
+    rest = map_arrow(dealt.repartition(*by).sortWithinPartitions(*by, "w0"), bucket_links(3, None), schema)
+    return fewer_links(found.unionByName(rest.select("w0", "w1")).toDF("a", "b"))
+
+
+def fewer_links(links: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what links (a, b) do: each a keeps its least b, which takes the place of a in its other links. Where many
+    nodes have a link in every table, these are mostly the same few."""
+    own = links.where("a <> b").repartition("a").distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    others = own.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return own.select("a", F.col("m").alias("b")).unionByName(others).distinct()
 
 
 def similar_forest(sets: list[np.ndarray], fps: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -225,24 +362,23 @@ def similar_forest(sets: list[np.ndarray], fps: np.ndarray, threshold: float) ->
     return links
 
 
-SETS = "_id long, _row long, sd long, fp long, size long, bands array<long>"
+SETS = "_id long, _row long, sd long, size long, print array<long>"
 
 
 def set_prints(digest: DataFrame, shingle: int = 5) -> DataFrame:
-    """SETS of every row of digest (_id, _row, _text): a digest of the set of shingles (0 for none), its SimHash, its size and its bands."""
+    """SETS of every row of digest (_id, _row, _text): a digest of the set of shingles (0 for none), its size and its long fingerprint (zeros for none)."""
     schema = arrow_schema(SETS)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            sd, fp, size, bands = [], [], [], []
+            sd, size, prints = [], [], []
             for x in batch.column(2):
                 grams = shingle_set(x.as_py() or b"", cache, shingle)
                 sd.append(xxhash.xxh64_intdigest(grams.tobytes(), 44) - (1 << 63) if len(grams) else 0)
-                fp.append(set_print(grams) if len(grams) else 0)
                 size.append(len(grams))
-                bands.append(band_keys(grams) if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sd, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, schema.field("bands").type)], schema=schema)
+                prints.append(set_print(grams) if len(grams) else [0] * WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sd, pa.int64()), pa.array(size, pa.int64()), pa.array(prints, schema.field("print").type)], schema=schema)
 
     return map_arrow(digest.select("_id", "_row", F.col("_text").cast("string").cast("binary").alias("_text")), stage, SETS)
 
@@ -281,22 +417,23 @@ def similar_links(grouped: DataFrame, shingle: int, threshold: float) -> DataFra
 def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without all but one row of each group that pairs of at least `threshold` Jaccard similarity of their word shingles chain together.
 
-    A pair is missed if it shares no band (at similarity 0.8 a chance of about 3e-5, less above) or lies beyond SIMILAR_RADIUS bits (about
-    1e-6) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
-    wordless texts are copies of each other. What stays, and what becomes of repeated rows, empty tables and columns, is as for keep_one(). Bands
-    are for a threshold of 0.8 or more.
+    Pairs whose long fingerprints share a bucket of a covering table are compared exactly. One is missed if it shares none (at similarity 0.8 a
+    chance of about 2e-5, of a set of four shingles and one of five about 1e-3; less above) or lies beyond CHECK_RADIUS or SIMILAR_RADIUS bits
+    (about 1e-6, and 2e-4) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
+    wordless texts are copies of each other. What stays, and what becomes of repeated rows, empty tables and columns, is as for keep_one(). The
+    tables are for a threshold of 0.8 or more.
     """
     digest = packed(docs, _id=at(id_col).cast("long"), _row=row_hash(docs), _text=at(text_col))
     prints = cut(set_prints(digest, shingle))
-    reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keyed = reps.select("sd", F.posexplode("bands").alias("t", "k"))
-    heads = keyed.groupBy("t", "k").agg(F.min("sd").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    loose = connected_components(keyed.join(heads, ["t", "k"]).select(F.col("sd").alias("a"), "b").distinct())
+    reps = prints.groupBy("sd").agg(F.min("_row").alias("_rep"), F.first("size").alias("size"), F.first("print").alias("print"))
+    # A smaller set is similar to none but itself: another has at least one shingle more, or one other.
+    reps = reps.where(F.col("size") >= threshold * (F.col("size") + 1)).withColumn("fp", F.col("print")[0])
+    loose = connected_components(covering_links(reps)).select(F.col("node").alias("fp"), "root")
+    grouped = reps.drop("print").join(loose, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Groups are dealt in blocks, by texts and by shingles, each pair of blocks to a task of its own.
-    sizes = loose.join(reps.select(F.col("sd").alias("node"), "size"), "node")
-    blocks = sizes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
-    named = loose.join(blocks, "root").select(F.col("root").alias("c"), F.col("node").alias("sd"), own.alias("own"), "n").join(reps.drop("bands"), "sd")
+    blocks = grouped.groupBy("root").agg(F.count("*").alias("of"), F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("sd", F.lit(7)), F.col("n")).cast("int")
+    named = grouped.join(blocks.where("of > 1"), "root").select(F.col("root").alias("c"), "sd", "_rep", "fp", own.alias("own"), "n")
     texts = digest.select(F.col("_row").alias("_rep"), F.col("_text").cast("string").cast("binary").alias("_text"))
     held = named.join(texts, "_rep").dropDuplicates(["sd"])
     dealt = held.select("c", "sd", "fp", "own", "_text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))

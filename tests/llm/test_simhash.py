@@ -157,3 +157,76 @@ def test_near_copies_in_blocks(docs, monkeypatch, limit):
     monkeypatch.setattr(S, *limit)
     rows = near_copies()
     assert sorted(r.doc_id for r in S.keep_one_similar(docs([(i, t, "s") for i, t in rows])).collect()) == jaccard_groups(rows)
+
+
+def test_parts_cover_every_pair_within_their_radius():
+    """Bits of all parts as far apart as PARTS * (PART_RADIUS + 1) - 1 allow: the worst case, no part closer than its radius, and others."""
+    rng = np.random.default_rng(5)
+    weights, n = S.table_weights(), 300
+    a = rng.integers(-(1 << 63), 1 << 63, (n, S.WORDS))
+    flips = np.zeros((n, 64 * (S.WORDS - S.CHECK)), dtype=np.uint8)
+    for k in range(n):
+        in_part = np.full(S.PARTS, S.PART_RADIUS + 1)
+        in_part[rng.integers(S.PARTS)] -= 1
+        for part in range(S.PARTS):
+            flips[k, part * S.PART + rng.choice(S.PART, in_part[part], replace=False)] = 1
+    b = a.copy()
+    b[:, S.CHECK :] ^= np.packbits(flips, axis=1).view(np.int64)
+    assert flips.sum(axis=1).tolist() == [S.PARTS * (S.PART_RADIUS + 1) - 1] * n
+    assert (S.table_keys(a, weights) == S.table_keys(b, weights)).any(axis=1).all()
+
+
+def apart(a, b):
+    """Whether two fingerprints are too far apart to be compared, straight from the definition."""
+    bits = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[: S.CHECK], b[: S.CHECK], strict=True)]
+    return bits[0] > S.SIMILAR_RADIUS or sum(bits) > S.CHECK_RADIUS
+
+
+@pytest.mark.parametrize("limits", [{}, {"_SHORT": 2}, {"BUCKET": 3}, {"BUCKET": 3, "_STEP": 7}, {"_STEP": 7}])
+def test_covering_links_are_those_of_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(12)]
+    prints = set()
+    for k in range(90):
+        words = list(texts[k % len(texts)])
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(60)] = "x"
+        prints.add(tuple(S.set_print(S.shingle_set(" ".join(words).encode(), {})).tolist()))
+    prints = sorted(prints)
+    keys = S.table_keys(np.array(prints), S.table_weights())
+    root = list(range(len(prints)))
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (keys[i] == keys[j]).any() and not apart(prints[i], prints[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    want = {frozenset(prints[i][0] for i in range(len(prints)) if root[i] == r) for r in root}
+    table = spark.createDataFrame([(list(p),) for p in prints], "print array<long>").repartition(3)
+    groups = {p[0]: {p[0]} for p in prints}
+    for r in S.covering_links(table).collect():
+        one = groups[r.a] | groups[r.b]
+        groups.update(dict.fromkeys(one, one))
+    assert {frozenset(g) for g in groups.values()} == want
+    assert 12 <= len(want) < len(prints) - 20
+
+
+def test_candidates_come_from_the_covering_tables_alone(docs, monkeypatch):
+    """Without their links only copies go."""
+    monkeypatch.setattr(S, "covering_links", lambda reps: reps.selectExpr("fp as a", "fp as b").where("false"))
+    rows = near_copies()
+    left = {i for i, _ in rows} - {r.doc_id for r in S.keep_one_similar(docs([(i, t, "s") for i, t in rows])).collect()}
+    texts = {i: " ".join((t or "").split()).lower() for i, t in rows}
+    assert left == {i for i in texts if any(k < i and texts[k] == texts[i] for k in texts)}
+
+
+def test_fewer_links_connect_the_same(spark):
+    rng = random.Random(4)
+    links = [(a, rng.randrange(a + 1)) for a in range(300, 600) for _ in range(rng.randint(0, 2))] + [(a, b) for a in range(100, 200) for b in range(8)]
+    table = spark.createDataFrame(links, "a long, b long")
+    got = S.fewer_links(table)
+    assert got.count() < len(set(links)) - 600
+
+    def components(edges):
+        return {(r.node, r.root) for r in S.connected_components(edges).collect()}
+
+    assert components(got) == components(table)
