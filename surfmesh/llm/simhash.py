@@ -33,11 +33,13 @@ BLOCK_SHINGLES = 4 << 20
 #: Parts of a long fingerprint, their bits, and the radius that masks cover in each. Pairs within PARTS * (PART_RADIUS + 1) - 1 bits of all parts
 #: share a bucket without exception; a pair at similarity 0.8 (0.15 of the bits expected) shares none with a chance of about 2e-5.
 PARTS, PART, PART_RADIUS = 16, 21, 2
+#: Sets of at most so many shingles differ in more bits (0.19 of them); these have tables of a greater radius besides.
+SMALL, SMALL_RADIUS = 5, 3
 #: Words of 64 bits, before the parts, that a fingerprint carries into its buckets, and the differing bits that a pair at similarity 0.8 has in
-#: them at most, but for a chance of about 3e-7; unrelated pairs pass with one of about 4e-9.
-CHECK, CHECK_RADIUS = 3, 56
+#: them at most, but for a chance of about 6e-9 (small sets: 1e-5); unrelated pairs pass with one of about 1e-7.
+CHECK, CHECK_RADIUS = 3, 60
 WORDS = CHECK + -(-PARTS * PART // BITS)
-#: Differing bits of the first word that a pair at similarity 0.8 has at most, but for a chance of about 1e-6.
+#: Differing bits of the first word that a pair at similarity 0.8 has at most, but for a chance of about 1e-6 (small sets: 1e-5).
 SIMILAR_RADIUS = 26
 #: Rows that are compared in one step, and the longest bucket among them that isn't searched by itself.
 _STEP, _SHORT = 1 << 16, 128
@@ -201,9 +203,9 @@ def set_print(grams: np.ndarray) -> np.ndarray:
     return np.packbits(2 * set_in > len(grams)).view(np.int64)
 
 
-def table_weights() -> np.ndarray:
+def table_weights(radius: int = PART_RADIUS) -> np.ndarray:
     """(bits of all parts, tables): what each bit that a table keeps counts in its key. Masks are as in covering_masks(), for each part."""
-    vectors = range(1, 1 << PART_RADIUS + 1)
+    vectors = range(1, 1 << radius + 1)
     weights = np.zeros((PARTS * PART, PARTS * len(vectors)), dtype=np.float32)
     for part in range(PARTS):
         for v in vectors:
@@ -212,10 +214,10 @@ def table_weights() -> np.ndarray:
     return weights
 
 
-def table_keys(prints: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(prints, tables): the bucket of every fingerprint in every table, no two tables having one in common."""
+def table_keys(prints: np.ndarray, weights: np.ndarray, first: int = 0) -> np.ndarray:
+    """(prints, tables): the bucket of every fingerprint in every table, no two tables (numbered from first) having one in common."""
     bits = np.unpackbits(np.ascontiguousarray(prints[:, CHECK:]).view(np.uint8), axis=1)[:, : PARTS * PART]
-    return (bits.astype(np.float32) @ weights).astype(np.int32) + (np.arange(weights.shape[1], dtype=np.int32) << PART)
+    return (bits.astype(np.float32) @ weights).astype(np.int32) + (np.arange(first, first + weights.shape[1], dtype=np.int32) << PART)
 
 
 def check_forest(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,20 +307,22 @@ def bucket_links(by: int, limit: int | None) -> Callable[[Iterator[pa.RecordBatc
 
 
 def covering_links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between the first words of long fingerprints (print), connecting those that share a bucket of some table and lie within
-    CHECK_RADIUS bits of the CHECK words (and SIMILAR_RADIUS of the first). Buckets of more than BUCKET are dealt in blocks, each pair of blocks to a task of its own."""
-    weights, words = table_weights(), [f"w{k}" for k in range(CHECK)]
+    """Edges (a, b) between the first words of long fingerprints (size, print), connecting those that share a bucket of some table and lie within
+    CHECK_RADIUS bits of the CHECK words (and SIMILAR_RADIUS of the first); size tells which are in the tables for small sets too. Buckets of more than BUCKET are dealt in blocks, each pair of blocks to a task of its own."""
+    weights, wider, words = table_weights(), table_weights(SMALL_RADIUS), [f"w{k}" for k in range(CHECK)]
     schema = "key int" + "".join(f", {w} long" for w in words)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            of = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS)
-            for lo in range(0, len(of), 500):
-                keys = table_keys(of[lo : lo + 500], weights)
-                carried = [np.repeat(of[lo : lo + 500, k], keys.shape[1]) for k in range(CHECK)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *carried)], names=["key", *words])
-
-    keyed = map_arrow(prints.select("print"), stage, schema)
+            every = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS)
+            small = every[batch.column(0).to_numpy(zero_copy_only=False) <= SMALL]
+            for of, table, first in ((every, weights, 0), (small, wider, weights.shape[1])):
+                for lo in range(0, len(of), 500):
+                    keys = table_keys(of[lo : lo + 500], table, first)
+                    carried = [np.repeat(of[lo : lo + 500, k], keys.shape[1]) for k in range(CHECK)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *carried)], names=["key", *words])
+
+    keyed = map_arrow(prints.select("size", "print"), stage, schema)
     met = cut(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "w0"), bucket_links(1, BUCKET), schema))
     found, left = (met.where(c).drop(*gone) for c, gone in (("key = -1", ("key", *words[2:])), ("key >= 0", ())))
     full = left.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("c"))
@@ -418,8 +422,8 @@ def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs without all but one row of each group that pairs of at least `threshold` Jaccard similarity of their word shingles chain together.
 
     Pairs whose long fingerprints share a bucket of a covering table are compared exactly. One is missed if it shares none (at similarity 0.8 a
-    chance of about 2e-5, of a set of four shingles and one of five about 1e-3; less above) or lies beyond CHECK_RADIUS or SIMILAR_RADIUS bits
-    (about 1e-6, and 2e-4) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
+    chance of about 2e-5, less above; sets of four and five shingles have wider tables besides) or lies beyond CHECK_RADIUS or SIMILAR_RADIUS bits
+    (about 1e-6, small sets 2e-5) and nothing else links it; none is linked below the threshold. Case (of ASCII letters) and white space don't count; null and
     wordless texts are copies of each other. What stays, and what becomes of repeated rows, empty tables and columns, is as for keep_one(). The
     tables are for a threshold of 0.8 or more.
     """

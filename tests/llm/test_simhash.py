@@ -201,7 +201,7 @@ def test_covering_links_are_those_of_brute_force(spark, monkeypatch, limits):
         if (keys[i] == keys[j]).any() and not apart(prints[i], prints[j]):
             root = [root[i] if r == root[j] else r for r in root]
     want = {frozenset(prints[i][0] for i in range(len(prints)) if root[i] == r) for r in root}
-    table = spark.createDataFrame([(list(p),) for p in prints], "print array<long>").repartition(3)
+    table = spark.createDataFrame([(60, list(p)) for p in prints], "size long, print array<long>").repartition(3)
     groups = {p[0]: {p[0]} for p in prints}
     for r in S.covering_links(table).collect():
         one = groups[r.a] | groups[r.b]
@@ -230,3 +230,14 @@ def test_fewer_links_connect_the_same(spark):
         return {(r.node, r.root) for r in S.connected_components(edges).collect()}
 
     assert components(got) == components(table)
+
+
+def test_small_sets_meet_in_wider_tables(docs):
+    """Texts of nine words and the first eight of them: 4 of 5 shingles. Of 4,000 such pairs the other tables miss some."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 62, (4000, 9))
+    rows = [(2 * k + c, " ".join(map(str, w[: 9 - c])), "s") for k, w in enumerate(words.tolist()) for c in (0, 1)]
+    sets = [[S.set_print(S.shingle_set(t.encode(), {})) for _, t, _ in rows[c::2]] for c in (0, 1)]
+    a, b = map(np.array, sets)
+    assert not (S.table_keys(a, S.table_weights()) == S.table_keys(b, S.table_weights())).any(axis=1).all()
+    assert sorted(r.doc_id for r in S.keep_one_similar(docs(rows)).collect()) == list(range(0, 8000, 2))
