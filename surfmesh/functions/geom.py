@@ -54,6 +54,13 @@ def ratio(n: Column, d: Column, ok: Column) -> Column:
     return n / F.when(ok, d)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x to so many digits as SQL engines that scale, round and divide have it: Spark's round() goes by the shortest decimal form instead, so that
+    0.5046875, which lies a little below as a double, becomes 0.504688 there and 0.504687 here."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 # --- triangles -----------------------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surfmesh.functions.geom import rounded
 from surfmesh.llm import compression, decontaminate, htmlcut, mixing, sharding, simhash, toxicity, unitdedup, warczip, winnowing
 
 
@@ -65,7 +66,7 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a window similar to a benchmark item, by item."""
     found = decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_shingles")
+    return found.select("doc_id", "item_id", rounded("similarity", 6).alias("similarity"), "start_word", "n_shingles")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

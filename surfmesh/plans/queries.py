@@ -26,7 +26,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def six(*names: str) -> list[Column]:
     """Columns rounded to six digits, without negative zeros."""
-    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]
+    return [(geom.rounded(n, 6) + F.lit(0.0)).alias(n) for n in names]
 
 
 def whole(*names: str) -> list[Column]:
@@ -135,7 +135,7 @@ def to_grid_generic(spark, d):
 def elevation_layer(spark, d):
     mesh = fx.terrain(spark, d)
     mesh = grid.from_mesh(mesh.vertices.select(F.col("vid").alias("pid"), "x", "y", "z"), mesh.navcels, "map")
-    return layers.values_of(mesh, "elevation").select("cid", F.round("value", 5).alias("value"))
+    return layers.values_of(mesh, "elevation").select("cid", geom.rounded("value", 5).alias("value"))
 
 
 # --- layers --------------------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,15 @@ def test_area_and_normal(spark):
     assert list(r) == pytest.approx([0.5, 3.0, 0.0, 0, 0, 1, 0, 0, 1])
 
 
+def test_rounding_is_that_of_scaled_doubles(spark):
+    """A mean of ten multiples of 1/64 can lie next to a tie at the seventh digit: as a double 323/640 is just below it."""
+    values = [323 / 640, k := 0.5 / 1e6, -k, 1 / 3, -2.0, 1e12 + 0.25, math.inf] + [n / 640 for n in range(1, 4000, 2)]
+    want = [row[0] for row in duckdb.sql(f"select round(unnest({[str(v) for v in values]}::double[]), 6)").fetchall()]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    assert [r.r for r in df.select("i", geom.rounded("v", 6).alias("r")).orderBy("i").collect()] == want
+    assert any(r.r != w for r, w in zip(df.select("i", F.round("v", 6).alias("r")).orderBy("i").collect(), want, strict=True))
+
+
 def test_ray_triangle(spark):
     t = P(0, 0, 0), P(1, 0, 0), P(0, 1, 0)
     cast = lambda o, d: geom.ray_triangle(P(*o), P(*d), *t)
