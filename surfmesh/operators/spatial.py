@@ -380,29 +380,60 @@ def radius_neighbors(points: DataFrame, radius: float) -> DataFrame:
 
 
 def knn(points: DataFrame, k: int, *, start: float | None = None) -> DataFrame:
-    """(pid, nid, dist, rank) of the k nearest other points, nearest first, lower ids on ties. The radius doubles for points that have too few."""
-    p = cut(points.select("pid", *(F.col(c).cast("double").alias(c) for c in "xyz")))
-    n, x0, x1, y0, y1, z0, z1 = p.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z")).first()
+    """(pid, nid, dist, rank) of the k nearest other points, nearest first, lower ids on ties. Points that aren't finite have no neighbours and are none.
+
+    Points look in cells as wide as a radius and in those around; the radius doubles for points that have too few. The first one is made so small,
+    before anything is joined, that pairs stay in proportion to points, however unevenly they lie (_first_radius). Of points in one place only the
+    k + 1 of the lowest ids can be anyone's neighbours.
+    """
+    ok = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in "xyz")
+    p = cut(points.select("pid", *(F.col(c).cast("double").alias(c) for c in "xyz")).where(ok))
+    n, *ends = p.agg(F.count("*"), *(f(c) for c in "xyz" for f in (F.min, F.max))).first()
     want = min(k, n - 1)
     if want < 1:
         return mesh_empty(points, "pid long, nid long, dist double, rank int")
-    reach = math.dist((x0, y0, z0), (x1, y1, z1)) or 1.0
-    radius = start or max(reach * math.sqrt((want + 1) / n), reach * 1e-6)
-    order = Window.partitionBy("pid").orderBy("dist", "nid")
-    todo, done = p, None
+    place = Window.partitionBy("x", "y", "z").orderBy("pid")
+    p = cut(p.withColumn("_other", F.row_number().over(place) <= want + 1))
+    radius = start or _first_radius(p, n, want, ends)
+    g = ["gx", "gy", "gz"]
+    dist = geom.dist3(geom.point(""), geom.point("n"))
+    first, todo, done = True, p, None
     while True:
-        near = F.explode(F.array(*(F.struct((cell(F.col("x"), radius) + i).alias("gx"), (cell(F.col("y"), radius) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("g")
-        other = p.select(F.col("pid").alias("nid"), *(F.col(c).alias(f"n{c}") for c in "xyz"), cell(F.col("x"), radius).alias("gx"), cell(F.col("y"), radius).alias("gy"))
-        dist = geom.dist3(tuple(F.col(c) for c in "xyz"), geom.point("n"))
-        met = todo.select("*", near).select("pid", "x", "y", "z", "g.gx", "g.gy").join(other, ["gx", "gy"]).where("pid <> nid").select("pid", "nid", dist.alias("dist")).where(F.col("dist") <= radius)
-        ranked = cut(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want))
-        full = ranked.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") == want).select("pid")
-        closed = ranked.join(full, "pid", "left_semi")
-        done = closed if done is None else done.unionByName(closed)
-        todo = cut(todo.join(full, "pid", "left_anti"))
+        others = p.where("_other").select(F.col("pid").alias("nid"), *(F.col(c).alias(f"n{c}") for c in "xyz"))
+        home = lambda df, pre: df.select("*", *(cell(F.col(pre + c), radius).alias(f"g{c}") for c in "xyz"))  # noqa: B023, E731
+        # At first the others come to the cells around, so that each point meets all of them in its own; later, fewer points go to the others.
+        q, o = (home(todo, ""), _around(others, "n", radius, ends)) if first else (_around(todo, "", radius, ends), home(others, "n"))
+        met = q.join(o, g).where("pid <> nid").select(*(g if first else ()), "pid", "nid", dist.alias("dist")).where(F.col("dist") <= radius)
+        by = [*g, "pid"] if first else ["pid"]
+        ranked = met.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "nid"))).where(F.col("_rank") <= want)
+        full = cut(ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("dist", "nid"))).alias("near")).where(F.size("near") == want).select("pid", "near"))
+        done = full if done is None else done.unionByName(full)
+        todo = cut(todo.join(full.select("pid"), "pid", "left_anti"))
         if not todo.limit(1).count():
-            return done
-        radius *= 2
+            return done.select("pid", F.posexplode("near").alias("rank", "s")).select("pid", "s.nid", "s.dist", (F.col("rank") + 1).cast("int").alias("rank"))
+        first, radius = False, radius * 2
+
+
+def _around(df: DataFrame, pre: str, size: float, ends: list[float]) -> DataFrame:
+    """df, once for each of the cells around its own (gx, gy, gz) and that one, inside the box of ends (low and high of x, y and z)."""
+    for c, low, high in zip("xyz", ends[::2], ends[1::2], strict=True):
+        at, least, most = cell(F.col(pre + c), size), cell(F.lit(low), size), cell(F.lit(high), size)
+        df = df.withColumn(f"g{c}", F.explode(F.sequence(F.greatest(at - 1, least), F.least(at + 1, most))))
+    return df
+
+
+def _first_radius(p: DataFrame, n: int, want: int, ends: list[float]) -> float:
+    """A cell side that gives cells want + 1 points if the n points of p lie evenly over their box, halved until cells make no more pairs than four
+    times those."""
+    reach = math.dist(ends[::2], ends[1::2]) or 1.0
+    *_, shorter, longer = sorted(high - low for low, high in zip(ends[::2], ends[1::2], strict=True))
+    size = min(reach, max(math.sqrt(shorter * longer * (want + 1) / n), longer * (want + 1) / n, reach * 2.0**-30))
+    while size > reach * 2.0**-30:
+        cells = p.groupBy(*(cell(F.col(c), size) for c in "xyz")).agg((F.count("*").cast("double") * F.count_if("_other")).alias("_pairs"))
+        if cells.agg(F.sum("_pairs")).first()[0] <= 4.0 * (want + 1) * n:
+            break
+        size /= 2
+    return size
 
 
 def mesh_empty(df: DataFrame, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from surfmesh.operators import area, layers, spatial, style, topology
@@ -312,3 +313,16 @@ def test_an_indexed_map_answers_like_its_own(spark):
     assert moved.geometry().agg(F.max("az")).first()[0] == mesh.geometry().agg(F.max("az")).first()[0] + 1
     fewer, _ = held.remove_surface(0)
     assert fewer.visible().count() == mesh.remove_surface(0)[0].visible().count()
+
+
+def test_knn_of_uneven_points_makes_few_pairs(spark):
+    """A dense spot, one far from it, many points in one place and one that isn't finite."""
+    rng = random.Random(5)
+    at = [(rng.random(), rng.random(), rng.random() / 4) for _ in range(300)] + [(1e5 + rng.random() * 9, 3e5, 0.0) for _ in range(60)] + [(5.0, 5.0, 0.5)] * 40
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)] + [(900, math.nan, 0.0, 0.0)], "pid long, x double, y double, z double")
+    want = {(i, rank + 1, j) for i, p in enumerate(at) for rank, (_, j) in enumerate(sorted((math.sqrt((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2), j) for j, q in enumerate(at) if j != i)[:4])}
+    assert {(r.pid, r["rank"], r.nid) for r in spatial.knn(df, 4).collect()} == want
+    p = df.where("pid < 900").withColumn("_other", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("pid")) <= 5)
+    size = spatial._first_radius(p, len(at), 4, [0.0, 1e5 + 9, 0.0, 3e5, 0.0, 0.5])
+    pairs = p.alias("a").join(p.where("_other").alias("b"), F.expr(" and ".join(f"floor(a.{c} / {size!r}) = floor(b.{c} / {size!r})" for c in "xyz")))
+    assert size < 1 and pairs.count() <= 4 * 5 * len(at)
