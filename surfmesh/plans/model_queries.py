@@ -215,7 +215,7 @@ def _both(mesh) -> DataFrame:
 def file_message(spark, d):
     """A message written to a file and read again."""
     path = f"{folder(spark)}/a.map"
-    binary.save_message(messages.to_message(fx.terrain(spark, d, layers=True)).first(), path, spark=spark)
+    binary.save_message(messages.to_message(fx.terrain(spark, d, layers=True)), path, spark=spark)
     return _both(messages.from_message(binary.load_message(spark, path)))
 
 

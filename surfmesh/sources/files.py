@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +13,12 @@ def _at(spark: SparkSession, path: str):
     return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def size(spark: SparkSession, path: str) -> int | None:
+    """The bytes that a file has; None where there is none."""
+    _, where, fs = _at(spark, path)
+    return fs.getFileStatus(where).getLen() if fs.exists(where) and not fs.getFileStatus(where).isDirectory() else None
+
+
 def read(spark: SparkSession, path: str) -> bytes | None:
     """The bytes of a file; None where there is none."""
     jvm, where, fs = _at(spark, path)
@@ -24,7 +32,12 @@ def read(spark: SparkSession, path: str) -> bytes | None:
 
 
 def write(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes a file and gives it its name, in place of one of that name, when it is whole. OSError where that fails."""
+    """Writes a file as write_parts() does."""
+    write_parts(spark, path, [data])
+
+
+def write_parts(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """Writes a file of these parts and gives it its name, in place of one of that name, when it is whole. OSError where that fails."""
     from py4j.protocol import Py4JJavaError
 
     jvm, where, fs = _at(spark, path)
@@ -32,7 +45,8 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
     try:
         stream = fs.create(temp, True)
         try:
-            stream.write(bytearray(data))
+            for part in parts:
+                stream.write(bytearray(part))
         finally:
             stream.close()
         options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)

@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,21 @@ def test_files_at_hadoop_paths(spark, tmp_path):
         binary.save(mesh, f"{tmp_path}/file/below.map")
     with pytest.raises(FileNotFoundError):
         binary.load(spark, f"{tmp_path}/none.map")
+
+
+def test_large_files_go_in_pieces_and_are_decoded_by_executors(spark, tmp_path, monkeypatch):
+    mesh, path = sample(spark), str(tmp_path / "l[1].bin")
+    message = messages.to_message(mesh, "odom", datetime.datetime(2024, 5, 6, 7, 8, 9, 250_000))
+    monkeypatch.setattr(binary, "SMALL_FILE", 0)
+    monkeypatch.setattr(binary, "PIECE", 7)
+    binary.save_message(message, path)
+    raw = open(path, "rb").read()
+    assert raw == binary.packed(binary.encode(message.first()))
+    found = binary.load_message(spark, path)
+    assert found.schema == spark.createDataFrame([], messages.MAP).schema and found.first() == message.first()
+    (tmp_path / "short.bin").write_bytes(raw[:-3])
+    with pytest.raises(OSError, match="ends early"):
+        binary.load_message(spark, f"{tmp_path}/short.bin")
+    for wrong in ([300], [-1], [None], [0.5], ["1"]):
+        with pytest.raises(struct.error):
+            binary._Writer().array("B", wrong)
