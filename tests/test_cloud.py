@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,19 @@ def test_message_to_mesh_in_one_call(spark):
     mesh = cloud.from_pointcloud2(rows, params)
     assert mesh.navcels.count() == len(emulated([tuple(map(float, p)) for p in points], params))
     assert mesh.layers.where(F.col("name") == "elevation").count() == 1
+
+
+def test_the_mesher_holds_flat_arrays():
+    """Pairs are counted as a dict would, in at most 60 bytes each; a group's batches become neighbour lists by place."""
+    rng = random.Random(9)
+    pairs = [(rng.randrange(2000), rng.randrange(2000)) for _ in range(40_000)] + [(7, 7)] * 300
+    table, want = cloud._Table(), Counter(pairs)
+    for p in pairs:
+        table.add(*p)
+    assert all(table.get(*p) == min(255, n) for p, n in want.items()) and table.get(3000, 1) == 0
+    assert 17 * len(table.one) <= 60 * len(want)
+    rows = [(50, 1.0, 2.0, 3.0, [10, 30]), (10, 4.0, 5.0, 6.0, [50]), (30, 7.0, 8.0, 9.0, []), (40, 0.0, 0.0, 0.0, [10, 50, 30])]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("pid", "x", "y", "z", "near"), r, strict=True)) for r in part]) for part in (rows[:2], rows[2:][::-1])]
+    ids, x, y, z, starts, near = cloud._group(iter(batches))
+    assert ids.tolist() == [10, 30, 40, 50] and x.tolist() == [4, 7, 0, 1] and z.tolist() == [6, 9, 0, 3]
+    assert [near[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [[3], [], [0, 3, 1], [0, 1]]
